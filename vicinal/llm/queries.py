@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import language_id, mixing, quality
+from vicinal.llm import decontamination, language_id, mixing, near_dup, quality
 from vicinal.llm.common import crc_mod, table
 
 
@@ -30,5 +30,19 @@ def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language_id.identify(docs.select("doc_id", "text"), protos).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_poisson_mixing, op6_compression_quality, op9_hyperdimensional_language)}
-ORACLES = {"op3_poisson_mixing": mixing.oracle()}
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, the window and its similarity."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "window_start", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_poisson_mixing, op6_compression_quality, op7_weighted_minhash, op9_hyperdimensional_language, op10_simhash_decontamination)
+}
+ORACLES = {"op3_poisson_mixing": mixing.oracle(), "op10_simhash_decontamination": decontamination.oracle()}
