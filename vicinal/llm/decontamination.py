@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import materialize
 
-WORDS = r"([\p{L}\p{N}]+)"
+BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 #: Bits of the five blocks of a 64-bit fingerprint.
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints within so many bits are all found: one block then differs in RADIUS // 5 = 3 bits at most.
@@ -22,7 +22,7 @@ BROADCAST_SHINGLES = 200_000
 def words(text: str | Column) -> Column:
     """Lower-cased runs of letters and digits; a null text has none."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORDS), 1)
+    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), BETWEEN_WORDS), "")
 
 
 def once(value: Column | str, name: str) -> Column:
