@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import chat_format, decontamination, language_id, mixing, near_dup, pii, quality
+from vicinal.llm import chat_format, decontamination, language_id, mixing, near_dup, pii, quality, url_filter
 from vicinal.llm.common import crc_mod, table
 
 
+def op1_segmented_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: the longest rule's, else naive Bayes over segmented words."""
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.learn(pages)
+    return url_filter.judge(pages.select("page_id", "url"), model).drop("url")
+
+
 def op2_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted windows; conversation -1 holds control strings."""
     own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -56,6 +63,6 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_budgeted_windows, op3_poisson_mixing, op6_compression_quality, op7_weighted_minhash, op8_keyed_surrogates, op9_hyperdimensional_language, op10_simhash_decontamination)
+    for f in (op1_segmented_hosts, op2_budgeted_windows, op3_poisson_mixing, op6_compression_quality, op7_weighted_minhash, op8_keyed_surrogates, op9_hyperdimensional_language, op10_simhash_decontamination)
 }
 ORACLES = {"op3_poisson_mixing": mixing.oracle(), "op10_simhash_decontamination": decontamination.oracle()}
