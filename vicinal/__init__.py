@@ -1,3 +1,10 @@
 """vicinal: nearest-neighbour analytics and data preparation on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run on executors go by value, so that workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
