@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinal.llm import chat_format, decontamination, embedding_dedup, language_id, mixing, near_dup, pii, quality, url_filter
+from vicinal.llm import chat_format, decontamination, embedding_dedup, language_id, lm_scoring, mixing, near_dup, pii, quality, url_filter
 from vicinal.llm.common import crc_mod, table
 
 
@@ -30,6 +30,11 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "copy_no", "n_copies", "rate", "shuffle_key")
 
 
+def op4_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention scores of every document, learned outside fold 2 of 7."""
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every embedding."""
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
@@ -68,6 +73,6 @@ def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_segmented_hosts, op2_budgeted_windows, op3_poisson_mixing, op5_hnsw_near_duplicates, op6_compression_quality, op7_weighted_minhash, op8_keyed_surrogates, op9_hyperdimensional_language, op10_simhash_decontamination)
+    for f in (op1_segmented_hosts, op2_budgeted_windows, op3_poisson_mixing, op4_attention_scores, op5_hnsw_near_duplicates, op6_compression_quality, op7_weighted_minhash, op8_keyed_surrogates, op9_hyperdimensional_language, op10_simhash_decontamination)
 }
 ORACLES = {"op3_poisson_mixing": mixing.oracle(), "op10_simhash_decontamination": decontamination.oracle()}
