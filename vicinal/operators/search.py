@@ -13,9 +13,8 @@ from vicinal.functions.vectors import to_matrix
 
 #: Members of a bucket that one group holds of each side, about; larger buckets are cut in blocks.
 BLOCK_ROWS = 1024
-#: Up to so many large buckets are looked up by broadcast (about 30 bytes each).
+#: Up to so many buckets that both sides have are looked up by broadcast (about 30 bytes each); more are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
-ROWS = "hash_table int, bucket bigint, qb int, cb int, query boolean, id bigint, sig array<bigint>, vec array<float>"
 
 
 def exact_squares(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -46,23 +45,22 @@ def nearest(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, allo
     return qid[i[keep]], cid[j[keep]], d[keep]
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Runs of equal (hash_table, bucket, qb, cb) in sorted batches; a run may span batches."""
-    held: list[pa.Table] = []
-    key = None
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Runs of equal (hash_table, bucket, qb, cb) in sorted batches: the table's number and (query, id, sig, vec) arrays."""
+    held: list[np.ndarray] | None = None
     for b in batches:
-        t = pa.Table.from_batches([b])
-        cols = np.stack([t.column(i).to_numpy() for i in range(4)], 1)
-        edges = np.concatenate([[0], np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1, [len(cols)]]) if len(cols) else np.zeros(0, int)
-        for a, e in zip(edges[:-1], edges[1:], strict=False):
-            own = tuple(cols[a])
-            if held and own != key:
-                yield int(key[0]), pa.concat_tables(held)
-                held = []
-            held.append(t.slice(a, e - a))
-            key = own
-    if held:
-        yield int(key[0]), pa.concat_tables(held)
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
+        cols = [keys, b.column(4).to_numpy(zero_copy_only=False), b.column(5).to_numpy(), to_matrix(b.column(6)), to_matrix(b.column(7))]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        edges = np.concatenate([[0], np.flatnonzero((cols[0][1:] != cols[0][:-1]).any(1)) + 1])
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            yield int(cols[0][i, 0]), [c[i:j] for c in cols[1:]]
+        held = [c[edges[-1] :] for c in cols]  # the last run may go on
+    if held is not None:
+        yield int(held[0][0, 0]), held[1:]
 
 
 def blocked(members: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -77,18 +75,16 @@ def blocked(members: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS
         .union(queries.select("hash_table", "bucket", F.lit(0), F.lit(1)))
         .groupBy("hash_table", "bucket").agg(F.sum("c").alias("c"), F.sum("q").alias("q"))
     )
-    large = sizes.where(f"c > {block_rows} OR q > {block_rows}").select(
+    met = sizes.where("c > 0 AND q > 0").select(
         "hash_table", "bucket", F.ceil(F.col("c") / block_rows).cast("int").alias("nc"), F.ceil(F.col("q") / block_rows).cast("int").alias("nq")
     )
-    if large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
-        large = F.broadcast(large)
+    if met.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS:
+        met = F.broadcast(met)
 
     def side(df: DataFrame, query: bool) -> DataFrame:
         own, other = ("nq", "nc") if query else ("nc", "nq")
-        df = df.join(large, ["hash_table", "bucket"], "left")
-        mine = F.pmod(F.xxhash64("id"), F.greatest(F.coalesce(own, F.lit(1)), F.lit(1))).cast("int")
-        met = F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(other, F.lit(1)), F.lit(1)) - 1))
-        df = df.withColumn("mine", mine).withColumn("met", met)
+        df = df.join(met, ["hash_table", "bucket"])  # buckets of one side only go no further
+        df = df.withColumn("mine", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         qb, cb = ("mine", "met") if query else ("met", "mine")
         return df.select("hash_table", "bucket", F.col(qb).alias("qb"), F.col(cb).alias("cb"), F.lit(query).alias("query"), "id", "sig", "vec")
 
@@ -96,21 +92,20 @@ def blocked(members: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS
     return side(members, False).union(side(queries, True)).repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _pairs(table: pa.Table, hash_table: int, drop_same: bool, first_only: bool) -> tuple | None:
-    query = table.column("query").to_numpy()
+def _pairs(group: list[np.ndarray], hash_table: int, drop_same: bool, first_only: bool) -> tuple | None:
+    """(query ids, query vectors, candidate ids, candidate vectors, allowed pairs) of a group with both sides."""
+    query, ids, sig, x = group
     if query.all() or not query.any():
         return None
-    ids, x = table.column("id").to_numpy(), to_matrix(table.column("vec")).astype(float)
     qid, cid = ids[query], ids[~query]
     allowed = np.ones((len(qid), len(cid)), bool)
     if drop_same:
         allowed &= qid[:, None] != cid
     if first_only and hash_table > 0:
-        sig = to_matrix(table.column("sig"))
         qs, cs = sig[query], sig[~query]
         for t in range(hash_table):
             allowed &= qs[:, t][:, None] != cs[:, t]
-    return qid, x[query], cid, x[~query], allowed
+    return (qid, x[query].astype(float), cid, x[~query].astype(float), allowed) if allowed.any() else None
 
 
 def top_k(partial: DataFrame, k: int) -> DataFrame:
@@ -131,8 +126,8 @@ def search(members: DataFrame, queries: DataFrame, k: int, exclude_same_id: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hash_table, table in grouped(batches):
-            if (p := _pairs(table, hash_table, exclude_same_id, first_only)) is not None:
+        for hash_table, group in grouped(batches):
+            if (p := _pairs(group, hash_table, exclude_same_id, first_only)) is not None:
                 a, b, d = nearest(*p, k)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "neighbor_id": pa.array(b, pa.int64()), "d2": pa.array(d, pa.float64())})
 
@@ -146,8 +141,8 @@ def count_candidates(members: DataFrame, queries: DataFrame, exclude_same_id: bo
     """New candidates of each query in each table: (hash_table, query_id, candidates), without empty counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hash_table, table in grouped(batches):
-            if (p := _pairs(table, hash_table, exclude_same_id, True)) is not None:
+        for hash_table, group in grouped(batches):
+            if (p := _pairs(group, hash_table, exclude_same_id, True)) is not None:
                 n = p[4].sum(1)
                 yield pa.RecordBatch.from_pydict({"hash_table": pa.array([hash_table] * len(n), pa.int32()), "query_id": pa.array(p[0], pa.int64()), "n": pa.array(n, pa.int64())})
 
@@ -158,5 +153,5 @@ def count_candidates(members: DataFrame, queries: DataFrame, exclude_same_id: bo
 def exact_knn(points: DataFrame, k: int, queries: DataFrame | None = None, exclude_same_id: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Brute-force neighbours: every query block against every block of points."""
     same = queries is None if exclude_same_id is None else exclude_same_id
-    one = lambda df: df.select(F.lit(0).alias("hash_table"), F.lit(0).cast("bigint").alias("bucket"), "id", F.lit(None).cast("array<bigint>").alias("sig"), "vec")
+    one = lambda df: df.select(F.lit(0).alias("hash_table"), F.lit(0).cast("bigint").alias("bucket"), "id", F.array(F.lit(0).cast("bigint")).alias("sig"), "vec")
     return search(one(points), one(points if queries is None else queries), k, same, block_rows=block_rows)

@@ -24,7 +24,7 @@ from vicinal.errors import FileFormatError
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-HEADER = struct.Struct("<QQQ")
+HEADER, HEADER_BYTES = "<QQQ", 24
 ELEMENTS = {"float": np.dtype("<f4"), "double": np.dtype("<f8"), "long": np.dtype("<i8")}
 #: Bytes that one task reads, about.
 SLICE_BYTES = 32 << 20
@@ -33,13 +33,13 @@ SLICE_BYTES = 32 << 20
 def header(path: str, element: str) -> tuple[int, int]:
     """(rows, columns) of a file, checked against the element type and the file's length."""
     with open(path, "rb") as f:
-        raw = f.read(HEADER.size)
-    if len(raw) < HEADER.size:
+        raw = f.read(HEADER_BYTES)
+    if len(raw) < HEADER_BYTES:
         raise FileFormatError(f"{path}: too short for a header")
-    width, rows, cols = HEADER.unpack(raw)
+    width, rows, cols = struct.unpack(HEADER, raw)
     if width != ELEMENTS[element].itemsize:
         raise FileFormatError(f"{path}: elements of {width} bytes, not {ELEMENTS[element].itemsize}")
-    if os.path.getsize(path) != HEADER.size + width * rows * cols:
+    if os.path.getsize(path) != HEADER_BYTES + width * rows * cols:
         raise FileFormatError(f"{path}: the length does not fit {rows} rows of {cols}")
     return rows, cols
 
@@ -65,7 +65,7 @@ class KnnBinReader(DataSourceReader):
         for a in range(partition.first, partition.last, 8192):
             b = min(a + 8192, partition.last)
             with open(self.path, "rb") as f:
-                f.seek(HEADER.size + a * self.cols * dtype.itemsize)
+                f.seek(HEADER_BYTES + a * self.cols * dtype.itemsize)
                 x = np.frombuffer(f.read((b - a) * self.cols * dtype.itemsize), dtype)
             offsets = pa.array(np.arange(0, len(x) + 1, self.cols, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.ListArray.from_arrays(offsets, pa.array(x, kind))], names=["id", "vec"])
@@ -107,7 +107,7 @@ class KnnBinWriter(DataSourceArrowWriter):
             raise FileFormatError("rows of different lengths")
         whole = f"{self.path}.{self.token}.whole"
         with open(whole, "wb") as out:
-            out.write(HEADER.pack(ELEMENTS[self.element].itemsize, sum(m.rows for m in parts), parts[0].cols if parts else 0))
+            out.write(struct.pack(HEADER, ELEMENTS[self.element].itemsize, sum(m.rows for m in parts), parts[0].cols if parts else 0))
             for m in parts:
                 with open(m.name, "rb") as f:
                     while block := f.read(16 << 20):
