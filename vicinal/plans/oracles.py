@@ -18,14 +18,13 @@ def squared_distance(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-def combine_steps(seed: str, value: str, tag: str) -> str:
-    """Select items that end in h<tag>, the mix of the value into the seed."""
+def combine_steps(source: str, seed: str, value: str, out: str) -> str:
+    """A query over the source with column `out`, the mix of the value into the seed; one level for each use of a value."""
     (s1, s2, s3), (m1, m2) = SHIFTS_32, MUL_32
-    a, b, c = f"a{tag}", f"b{tag}", f"c{tag}"
-    return (
-        f"(({seed}) + {GOLDEN_32} + ({value})) & 4294967295 AS {a}, (xor({a}, {a} >> {s1}) * {m1}) & 4294967295 AS {b}, "
-        f"(xor({b}, {b} >> {s2}) * {m2}) & 4294967295 AS {c}, xor({c}, {c} >> {s3}) AS h{tag}"
-    )
+    sql = f"SELECT *, (({seed}) + {GOLDEN_32} + ({value})) & 4294967295 AS {out}a FROM {source}"
+    sql = f"SELECT * EXCLUDE ({out}a), (xor({out}a, {out}a >> {s1}) * {m1}) & 4294967295 AS {out}b FROM ({sql})"
+    sql = f"SELECT * EXCLUDE ({out}b), (xor({out}b, {out}b >> {s2}) * {m2}) & 4294967295 AS {out}c FROM ({sql})"
+    return f"SELECT * EXCLUDE ({out}c), xor({out}c, {out}c >> {s3}) AS {out} FROM ({sql})"
 
 
 def functions(o: LshOptions, dims: int = DIMS) -> str:
@@ -39,7 +38,7 @@ def functions(o: LshOptions, dims: int = DIMS) -> str:
 
 def projections(o: LshOptions, points: str = POINTS) -> str:
     """CTEs pts (id, vec) and pr (id, f, p, e): projections and segment numbers."""
-    return f"pts AS ({points}), pr AS (SELECT id, f, p, trunc((b + p) / {o.w!r}::DOUBLE)::BIGINT AS e FROM (SELECT id, f, b, {dot('vec', 'a')} AS p FROM pts, fn))"
+    return f"pts AS MATERIALIZED ({points}), pr AS (SELECT id, f, p, trunc((b + p) / {o.w!r}::DOUBLE)::BIGINT AS e FROM (SELECT id, f, b, {dot('vec', 'a')} AS p FROM pts, fn))"
 
 
 def cut_points(o: LshOptions) -> str:
@@ -67,10 +66,12 @@ def buckets(o: LshOptions, points: str = POINTS, dims: int = DIMS) -> str:
         slot = "SELECT id, f, e & 4294967295 AS e FROM pr"
     m = o.num_hash_functions
     wide = ", ".join(f"max(e) FILTER (WHERE slot = {s}) AS e{s}" for s in range(m))
-    chain = ", ".join(combine_steps(str(m) if s == 0 else f"h{s - 1}", f"e{s}", str(s)) for s in range(m))
+    chain = "wd"
+    for s in range(m):
+        chain = f"({combine_steps(chain, str(m) if s == 0 else f'h{s - 1}', f'e{s}', f'h{s}')})"
     return (
         f"{head}, sl AS ({slot}), wd AS (SELECT id, hash_table, {wide} FROM sl JOIN ch USING (f) GROUP BY id, hash_table), "
-        f"bk AS (SELECT hash_table, h{m - 1} % {o.buckets} AS bucket, id FROM (SELECT *, {chain} FROM wd))"
+        f"bk AS MATERIALIZED (SELECT hash_table, h{m - 1} % {o.buckets} AS bucket, id FROM {chain})"
     )
 
 

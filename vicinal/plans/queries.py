@@ -222,7 +222,7 @@ def _oracles() -> dict[str, str]:
     return {
         "data_set_attributes": "SELECT count(*) AS total_size, max(len(embedding))::INT AS dims FROM embeddings",
         "exact_knn": _with(pts, exact_cte) + columns + "truth",
-        "hash_combine_u32": f"SELECT o_orderkey, o_custkey, h0 AS mixed FROM (SELECT *, {sql.combine_steps('o_orderkey', 'o_custkey', '0')} FROM orders)",
+        "hash_combine_u32": f"SELECT o_orderkey, o_custkey, mixed FROM ({sql.combine_steps('orders', 'o_orderkey', 'o_custkey', 'mixed')})",
         "rp_projection": _with(sql.functions(RP), sql.projections(RP)) + "SELECT id, f::INT AS f, p FROM pr",
         "rp_bucket": _with(rp) + bk, "entropy_bucket": _with(entropy) + bk, "mixed_bucket": _with(mixed) + bk,
         "entropy_cutpoints": _with(entropy) + "SELECT fn::INT AS fn, cut_index, cut_value FROM cut",
