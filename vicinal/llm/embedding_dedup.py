@@ -14,15 +14,18 @@ from vicinal.llm.common import components, materialize, small_batches
 
 #: Distinct vectors of a shard, about; a label with more has several, and every vector queries all of them.
 SHARD_ROWS = 8192
-FIRST_BEAM = 32
+FIRST_BEAM = 48
 AUDIT = 128
 #: Found in single precision with this slack, then verified in double precision.
 SLACK = 1e-4
 
 
-def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float, beam: int = FIRST_BEAM) -> np.ndarray:
+def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float, same: bool = False, beam: int = FIRST_BEAM) -> np.ndarray:
     """Which rows of x (columns) have a similarity of `least` or more with each query (rows), as found by the graph.
 
+    With `same`, the queries are the rows of x themselves: each search starts
+    at its own node too, and a vector's likeness to itself is no link.
+
     A query whose beam holds nothing below `least` searches again with a
     beam four times as wide.  Then 128 queries, those with links first, are
     compared with a full scan; while the graph misses a link, all beams start
@@ -34,19 +37,24 @@ def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float,
         for i in range(0, len(queries), hnsw.BATCH):
             rows, width = np.arange(i, min(i + hnsw.BATCH, len(queries))), min(beam, n)
             while len(rows):
-                for j in range(0, len(rows), max(16, min(hnsw.BATCH, (1 << 21) // width))):
-                    part = rows[j : j + max(16, min(hnsw.BATCH, (1 << 21) // width))]
-                    ids, sims = hnsw.search(x, layers, queries[part], width)
+                step = max(8, min(hnsw.BATCH, 5000 // hnsw.expanded(width)))  # about 32 MB of gathered vectors
+                for j in range(0, len(rows), step):
+                    part = rows[j : j + step]
+                    ids, sims = hnsw.search(x, layers, queries[part], width, part if same else None)
                     hit = (sims >= least) & (ids >= 0)
                     r, c = np.nonzero(hit)
                     out[part[r], ids[r, c]] = True
                     rows[j : j + len(part)] = np.where(hit.all(1), part, -1)
                 rows = rows[rows >= 0] if width < n else rows[:0]
                 width = min(width * 4, n)
-        linked = out.sum(1) > 1
+        if same:
+            np.fill_diagonal(out, False)
+        linked = out.any(1)
         audit = np.argsort(~linked, kind="stable")
         audit = np.unique(np.concatenate([audit[: AUDIT // 2], audit[np.linspace(0, len(audit) - 1, AUDIT // 2).astype(int)]]))
         truth = queries[audit] @ x.T >= least + SLACK / 2
+        if same:
+            truth[np.arange(len(audit)), audit] = False
         if not (truth & ~out[audit]).any() or beam >= n:
             return out
         beam = min(2 * beam, n)
@@ -136,7 +144,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                     ids[s], counts[s] = np.frombuffer(row[f"{s}_ids"], np.int64), np.frombuffer(row[f"{s}_counts"], np.int64)
                     big[s], small[s] = unit(np.frombuffer(row[f"{s}_vectors"], float).reshape(-1, row["dim"]))
                     layers[s] = unpack(row[f"{s}_graph"])
-                adj = range_links(small["b"], layers["b"], small["a"], threshold - SLACK)
+                adj = range_links(small["b"], layers["b"], small["a"], threshold - SLACK, bool(row["same"]))
                 if row["same"]:
                     adj |= adj.T
                     np.fill_diagonal(adj, False)

@@ -33,7 +33,12 @@ def select(near: np.ndarray, sims: np.ndarray, x: np.ndarray, links: int) -> np.
     return out
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def expanded(beam: int) -> int:
+    """Nodes of a beam that are expanded at once: more in a wide beam, which would take many steps otherwise."""
+    return max(4, beam // 12)
+
+
+def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The best `beam` nodes found from `start` (rows, any) for each query: (ids, similarities), best first, -1 for none."""
     n, rows = len(x), len(queries)
     seen = np.zeros((rows, n + 1), bool)
@@ -60,7 +65,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np
 
     live = np.arange(rows)
     offer(live, start.astype(np.int64))
-    wide = min(wide, beam)
+    wide = min(expanded(beam), beam)
     while True:
         open_ = np.where(done[live] | (ids[live] < 0), -9.0, sims[live])
         some = open_.max(1) > -9
@@ -135,12 +140,14 @@ def build(x: np.ndarray, seed: int = 1) -> tuple[list[np.ndarray], list[np.ndarr
     return members, [build_layer(x[m], rng) for m in members]
 
 
-def search(x: np.ndarray, layers: tuple[list[np.ndarray], list[np.ndarray]], queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best `beam` rows of x found for each query, down through the layers."""
+def search(x: np.ndarray, layers: tuple[list[np.ndarray], list[np.ndarray]], queries: np.ndarray, beam: int, own_rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The best `beam` rows of x found for each query, down through the layers; own_rows are the queries' rows of x, if they have any."""
     members, graphs = layers
     start = np.zeros((len(queries), 1), np.int64)
     for depth, (own, graph) in enumerate(zip(members, graphs, strict=True)):
         last = depth == len(members) - 1
+        if last and own_rows is not None:
+            start = np.concatenate([own_rows[:, None], start], 1)
         ids, sims = beam_search(x[own], graph, queries, start, min(beam if last else 8, len(own)))
         if last:
             return ids, sims
