@@ -86,14 +86,23 @@ def unpack(raw: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def smallest_linked(adj: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id of each side's vectors within their components of one link matrix."""
-    a, b = a_ids.copy(), b_ids.copy()
-    top = np.iinfo(np.int64).max
-    while True:
-        b2 = np.minimum(b, np.where(adj, a[:, None], top).min(0))
-        a2 = np.minimum(a, np.where(adj, b2[None, :], top).min(1))
-        if (a2 == a).all() and (b2 == b).all():
-            return a, b
-        a, b = a2, b2
+    low_a, low_b = a_ids.copy(), b_ids.copy()
+    turned, seen_a, seen_b = np.ascontiguousarray(adj.T), ~adj.any(1), np.zeros(len(b_ids), bool)
+    for i in np.flatnonzero(~seen_a):  # breadth first; every row and column is read once
+        if seen_a[i]:
+            continue
+        seen_a[i] = True
+        rows, all_rows, all_cols = np.array([i]), [np.array([i])], []
+        while len(rows):
+            cols = np.flatnonzero(adj[rows].any(0) & ~seen_b)
+            seen_b[cols] = True
+            rows = np.flatnonzero(turned[cols].any(0) & ~seen_a)
+            seen_a[rows] = True
+            all_rows.append(rows)
+            all_cols.append(cols)
+        r, c = np.concatenate(all_rows), np.concatenate(all_cols)
+        low_a[r] = low_b[c] = min(a_ids[r].min(), b_ids[c].min())
+    return low_a, low_b
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, shard_rows: int = SHARD_ROWS) -> DataFrame:
