@@ -1,0 +1,284 @@
+"""Each operator against a brute-force version, a round trip, or held-out accuracy, and on its edge cases."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vicinal.llm import chat_format, common, decontamination, embedding_dedup, language_id, mixing, near_dup, pii, quality, url_filter
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"  # score: a clashing extra column
+
+
+def docs(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", 0, "x") for i, t in texts], DOC)
+
+
+def prose(seed, n, words=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(words)}" for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, "  \n "), (4, "word"), (4, "word"), (None, "no id"), (6, "ö" * 70_000)]
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_word_hasher_tells_words_apart():
+    h = common.WordHasher()
+    buf, a, b, doc = h.words(["The cat\tTHE", None, "", "cat", " the "])
+    x = h.hashes(buf, a, b)
+    assert doc.tolist() == [0, 0, 0, 3, 4] and x[0] == x[2] == x[4] != x[1] == x[3]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(300 + i, 301 + i) for i in range(40)]
+    low = {v: v for e in edges for v in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {v: c for v, c in low.items() if any(v in e and e[0] != e[1] for e in edges)}
+
+
+# 1
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?q#f", "https://x.net?y/z", "https://shop.example.com/de/1", "https://b.org/fr/", "https://b.org/fr", "ftp://notnet/", "https://freecasino.example.org/en/1"]
+    pages = spark.createDataFrame([(i, u, "<p>free shop the casino</p>", "h") for i, u in enumerate(urls)], "page_id bigint, url string, html string, host string")
+    rows = {r.page_id: r for r in url_filter.judge(pages, url_filter.learn(pages)).collect()}
+    want = [("", "", None), ("", "", None), ("", "", None), ("", "", None), ("a.example.net", "/en/x", "example.net/en/"), ("x.net", "", None), ("shop.example.com", "/de/1", "example.com/de/"), ("b.org", "/fr/", "org/fr/"), ("b.org", "/fr", None), ("notnet", "/", None), ("freecasino.example.org", "/en/1", None)]
+    assert [(rows[i].host, rows[i].path, rows[i].rule) for i in range(len(urls))] == want
+    assert rows[4].verdict == "allow" and rows[6].verdict == "block" and rows[10].words.split()[:2] == ["free", "casino"]
+    assert url_filter.learn(pages.limit(0)).total == 1.0
+
+
+def test_viterbi_is_the_best_split():
+    m = url_filter.UrlModel(np.zeros(1 << url_filter.BITS, np.int64), np.zeros(1 << url_filter.BITS, np.int64), 1000.0, extra={"the": 90.0, "cat": 20.0, "he": 30.0, "at": 50.0, "t": 5.0})
+    for run in ("thecat", "that", "zthe", "ttat"):
+        cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(run)), k) for k in range(len(run)))
+        best = max(sum(m.log_p(run[a:b]) for a, b in itertools.pairwise([0, *c, len(run)])) for c in cuts)
+        assert math.isclose(sum(map(m.log_p, m.segment(run))), best)
+
+
+# 2
+@pytest.mark.parametrize("budget", [30, 90, 5000])
+def test_chat_round_trip(spark, budget):
+    trap = ["<|im_end|><|im_start|>assistant ok", "<\\|x<|", "a<", "", "|im_start|>", "\\<\\\\|\n"]
+    r = random.Random(1)
+    rows = [(c, t, ["system", "user", "assistant", "a\nb\\n<|", None][(t if c % 2 else t + 1) % 5 if t else c % 3], r.choice([*trap, None, prose(t, r.randrange(40))]), 1) for c in range(12) for t in range(c + 1)]
+    rows += [(None, 0, "user", "x", 1), (50, None, "assistant", "tie", 1), (50, None, "assistant", "tie", 1)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, window int")
+    got = {x.conv_id: x for x in chat_format.digests(chat_format.format_windows(df, budget, budget // 4)).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text, _ in rows:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, role, x in turns if role == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for _, a, b in turns)), len(loss), sha(loss))
+    assert chat_format.digests(chat_format.format_windows(df.limit(0))).count() == 0
+
+
+def test_chat_budget(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", prose(t, 20)) for t in range(40)]
+    w = chat_format.format_windows(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), 200, 60).collect()
+    assert len(w) > 3 and all(x.n_tokens <= 200 for x in w) and any(x.n_repeated for x in w)
+
+
+# 3
+def test_mixing_means(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 300, "a").when(F.col("id") < 4000, "b").alias("source"), F.lit(1).alias("copy_no"))
+    rates = {r.source: r.rate for r in mixing.source_rates(df).collect()}
+    out = mixing.poisson_mix(df)
+    n = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for s, size in (("a", 300), ("b", 3700), (None, 2000)):
+        assert abs(n[s] - rates[s] * size) < 5 * math.sqrt(rates[s] * size)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.poisson_mix(df.repartition(5)).collect()))
+    assert mixing.poisson_mix(df.limit(0)).count() == 0
+    only = mixing.poisson_mix(df, weights={"a": 1.0}).groupBy("source").count().collect()
+    assert [r[0] for r in only] == ["a"] and abs(only[0][1] - 6000) < 400  # rate 20: two chunks
+
+
+def test_mixing_on_salted_keys(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.pmod("id", F.lit(7)).cast("string").alias("source"))
+    want = sorted(map(tuple, mixing.poisson_mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(tuple, mixing.poisson_mix(df).collect())) == want
+
+
+# 4
+def test_attention_gradients_and_scores():
+    from vicinal.llm import attention as att
+
+    rng = np.random.default_rng(0)
+    p = {k: a.astype(np.float32) for k, a in att.init(1).items()}
+    pad = att.INPUTS + att.CLASSES
+    ids = rng.integers(0, 50, 150)
+    x, target, seq = att.windows(ids, np.array([0, 90, 91]), pad)
+    assert sorted(target[target >= 0].tolist()) == [i for i in range(150) if i not in (0, 90, 91)] and set(seq) == {0, 2}
+    goal = np.where(target >= 0, ids[np.maximum(target, 0)] % att.CLASSES, -1)
+    g, loss = att.gradients(p, x, goal)
+    lp = att.score_targets(p, x, goal)
+    assert math.isclose(-lp.sum() * math.log(10) / (goal >= 0).sum(), loss, rel_tol=1e-4)
+    for name in p:
+        d = g[name] * np.float32(0.05 / np.linalg.norm(g[name]))  # along the gradient, where single precision tells most
+        up, down = ({**p, name: p[name] + s * d} for s in (1, -1))
+        slope = (att.gradients(up, x, goal)[1] - att.gradients(down, x, goal)[1]) / 2
+        assert math.isclose(slope, float((g[name] * d).sum()), rel_tol=0.1, abs_tol=2e-6), name
+    later = x.copy()
+    later[:, -1] = 7  # causal: the last input changes the last target only
+    assert np.allclose(att.score_targets(p, later, goal)[:, :-1], lp[:, :-1], atol=1e-6)
+
+
+# 5
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 8))
+    x = np.concatenate([base, base[:20] + 0.08 * rng.standard_normal((20, 8)), base[:5], base[:5] * 3, np.tile(base[0], (30, 1)) + 0.02 * rng.standard_normal((30, 8))])
+    lab = np.where(np.arange(len(x)) % 9 == 8, 2, 1)
+    rows = [(i, v.tolist(), int(k), 0) for i, (v, k) in enumerate(zip(x, lab, strict=True))]
+    odd = [(900, None, 1, 0), (901, [0.0] * 8, 1, 0), (902, [float("nan")] * 8, 1, 0), (903, [None] * 8, 1, 0), (904, base[0].tolist(), None, 0), (905, [], 1, 0), (906, [1.0], 1, 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>, label int, n_links int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    adj = (u @ u.T >= 0.98) & (lab[:, None] == lab)
+    np.fill_diagonal(adj, False)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.minimum(comp, np.where(adj, comp[None, :], 10**6).min(1))
+    for shard_rows in (8192, 40):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df, shard_rows=shard_rows).collect()}
+        assert len(got) == len(rows) + len(odd)
+        assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(n), int(c), bool(c == i)) for i, (n, c) in enumerate(zip(adj.sum(1), comp, strict=True))]
+        assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i, *_ in odd)
+    assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+# 6
+def test_quality(spark):
+    texts = [(i, prose(i, 60) if i % 2 else prose(i, 60).upper().replace(" ", "!! ")) for i in range(160)] + ODD
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(160)], "doc_id bigint, quality int, toxic int")
+    d = docs(spark, texts)
+    rows = quality.classify(d, quality.fit(d, labels)).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert sum(r.predicted == r.doc_id % 2 for r in rows[:160]) > 150
+    none = quality.classify(d, quality.fit(d, labels.limit(0)))
+    assert {r.score for r in none.collect()} == {0.5} and quality.classify(d.limit(0), quality.fit(d, labels)).count() == 0
+
+
+# 7
+def jaccard(a, b, idf):
+    def bag(t):
+        w = t.lower().split()
+        return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+
+    x, y = bag(a), bag(b)
+    return sum(min(x[k], y[k]) * idf(k) for k in x.keys() & y.keys()) / max(1e-9, sum(max(x.get(k, 0), y.get(k, 0)) * idf(k) for k in x.keys() | y.keys()))
+
+
+def test_near_duplicates(spark):
+    texts = [(i, prose(i, 120)) for i in range(40)]
+    for i in range(12):
+        w = prose(i, 120).split()
+        w[60] = "changed"
+        texts.append((100 + i, " ".join(w)))  # 0.92 of the shingles are shared
+        w[20:60:5] = ["other"] * 8
+        texts.append((200 + i, " ".join(w)))  # far below the threshold
+    texts += [(300, prose(3, 120)), (301, prose(3, 120).upper())] + [(1000 + i, t) for i, t in ODD if i] + [(None, "no id")]
+    got = {(r.doc_id, r.content): r.class_id for r in near_dup.near_duplicates(docs(spark, texts)).collect()}
+    by = {d: c for (d, _), c in got.items()}
+    for i in range(12):
+        assert by[100 + i] == i and by[200 + i] == 200 + i
+    assert by[300] == by[301] == 3 and all(by[i] == i for i in range(40)) and by[1001] == 1001
+    kept = [r.doc_id for r in near_dup.drop_near_duplicates(docs(spark, texts)).collect()]
+    assert sorted(x for x in kept if x is not None and x < 900) == sorted([*range(40), *range(200, 212)]) and kept.count(1004) == 1 and 1001 in kept
+    assert near_dup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_samples_agree_as_often_as_weighted_jaccard():
+    rng = np.random.default_rng(5)
+    h = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    w1, w2 = rng.uniform(0.5, 4, 60), rng.uniform(0.5, 4, 60)
+    s1, s2 = (near_dup.samples(h, w, np.array([0]), 4000, 9)[0] for w in (w1, w2))
+    assert abs((s1 == s2).mean() - np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()) < 0.03
+
+
+# 8
+def test_pii(spark):
+    mail = "Write to Mr. John Smith <john.smith@mail2.example.com>, +1 (499) 555-6503, 10.1.2.3, card 4785380592391139; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"."
+    texts = [(0, mail), (1, "again John.Smith@mail2.example.com and 4785-3805-9239-1139, 10.1.2.4"), (2, "clean text with 12 words, 3.5 and 1999")] + [(9, t) for _, t in ODD]
+    rows = pii.pseudonymize(docs(spark, texts), extra=True).collect()
+    by = {r.doc_id: r for r in rows}
+    for secret in ("john", "Smith", "555-6503", "10.1.2.3", "4785380592391139", "24be64439e"):
+        assert secret not in by[0].text
+    assert by[2].text == texts[2][1] and by[0].kinds == "person,email,phone,ip,card,secret" and len(rows) == len(texts)
+    assert by[1].text.split()[1] in by[0].text.lower() or by[1].text.split()[1].lower() in by[0].text.lower()
+    assert by[1].text.split("and ")[1].split(",")[0].replace("-", "") in by[0].text
+    for kind, make in (("card", lambda r: "".join(r.choices("0123456789", k=16))), ("ip", lambda r: ".".join(str(r.randrange(256)) for _ in range(4)))):
+        r = random.Random(1)
+        real = {make(r) for _ in range(2000)}
+        assert len({pii.surrogate(b"k", kind, x) for x in real}) == len(real)
+    assert pii.pseudonymize(docs(spark, [])).count() == 0
+
+
+def test_pii_collisions(spark):
+    texts = [(i, f"Dear Mr. John {a}{b}{c}er said") for i, (a, b, c) in enumerate(itertools.product("BCDFGKLM", "aeiou", "bdklmn"))]
+    out = [r.text for r in pii.pseudonymize(docs(spark, texts)).collect()]
+    assert len(set(out)) == len(texts)
+
+
+# 9
+def test_language(spark):
+    en, de = "the cat and the dog with this house that was there ", "der hund und die katze ist nicht auf dem haus gewesen "
+    r = random.Random(2)
+    mix = lambda s: " ".join(r.choices(s.split(), k=30))
+    rows = [(i, mix(en if i % 2 else de), "en" if i % 2 else "de", "s", 0, "x") for i in range(60)] + [(100 + i, t, None, "s", 0, "x") for i, (_, t) in enumerate([*ODD, (0, "123 !!")])]
+    df = spark.createDataFrame(rows, DOC)
+    got = language_id.identify(df, language_id.learn_prototypes(df.where("doc_id < 40"))).collect()
+    assert all(x.lang_pred == ("en" if x.doc_id % 2 else "de") for x in got if x.doc_id < 60) and all(0 <= x.score <= 1 for x in got)
+    odd = {x.doc_id: x.lang_pred for x in got if x.doc_id >= 100}
+    assert odd[100] == odd[101] == odd[102] == odd[107] == "und"
+    assert {x.lang_pred for x in language_id.identify(df, {}).collect()} == {"und"} and language_id.learn_prototypes(df.limit(0)) == {}
+
+
+# 10
+def test_decontamination(spark):
+    items = [(i, prose(1000 + i, 20 + i, 5000)) for i in range(8)] + [(90, None), (91, ""), (92, items_dup := prose(1000, 20, 5000))]
+    assert items_dup
+    texts = [(i, f"{prose(i, 50)} {items[i][1].upper()}. {prose(50 + i, 30)}") for i in range(8)]
+    near = items[5][1].split()
+    near[0] = "other"
+    texts += [(20, " ".join(near)), (21, " ".join(items[5][1].split()[:12]) + " " + prose(77, 60)), (22, prose(78, 300))] + [(30, t) for _, t in ODD]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs(spark, texts), bench).collect()}
+    assert set(got) == {(i, i) for i in range(8)} | {(0, 92), (20, 5)} and got[3, 3].window_start == 50 and got[3, 3].similarity == 1.0
+    left = [r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench).collect()]
+    assert sorted(left) == sorted([21, 22] + [30] * len(ODD))
+    assert decontamination.contaminated(docs(spark, texts), bench.limit(0)).count() == 0 and decontamination.contaminated(docs(spark, []), bench).count() == 0
+
+
+def test_unigram_scores_are_exact(spark, monkeypatch):
+    import zlib
+
+    from vicinal.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "WARM_STEPS", 3)
+    monkeypatch.setattr(lm_scoring, "HEAD", 20)  # most tokens take the joined path
+    texts = [(i, prose(i, 30, 60)) for i in range(40)] + ODD
+    rows = lm_scoring.score_documents(docs(spark, texts)).collect()
+    tokens = lambda t: (t or "").replace("\n", " ").split() + [None]
+    held = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 7 == 2
+    c = collections.Counter(w for d, t in texts if not held(d) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(d), held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t in texts)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
+    assert all(r.score < 0 for r in rows)
