@@ -14,7 +14,7 @@ from vicinal.llm.common import components, materialize, small_batches
 
 #: Distinct vectors of a shard, about; a label with more has several, and every vector queries all of them.
 SHARD_ROWS = 8192
-FIRST_BEAM = 48
+FIRST_BEAM, WIDEST_BEAM = 48, 192
 AUDIT = 128
 #: Found in single precision with this slack, then verified in double precision.
 SLACK = 1e-4
@@ -29,12 +29,16 @@ def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float,
     A query whose beam holds nothing below `least` searches again with a
     beam four times as wide.  Then 128 queries, those with links first, are
     compared with a full scan; while the graph misses a link, all beams start
-    twice as wide.  A beam as wide as the shard is a scan itself.
+    twice as wide.  Beyond 192 the next width is the whole shard, which is a
+    scan: a query with so many links, or a shard whose audits still fail,
+    costs one matrix product and loses nothing.
     """
     n = len(x)
     while True:
         out = np.zeros((len(queries), n), bool)
-        for i in range(0, len(queries), hnsw.BATCH):
+        if beam >= n:
+            out[:] = queries @ x.T >= least
+        for i in range(0, len(queries) if beam < n else 0, hnsw.BATCH):
             rows, width = np.arange(i, min(i + hnsw.BATCH, len(queries))), min(beam, n)
             while len(rows):
                 step = max(8, min(hnsw.BATCH, 5000 // hnsw.expanded(width)))  # about 32 MB of gathered vectors
@@ -46,7 +50,10 @@ def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float,
                     out[part[r], ids[r, c]] = True
                     rows[j : j + len(part)] = np.where(hit.all(1), part, -1)
                 rows = rows[rows >= 0] if width < n else rows[:0]
-                width = min(width * 4, n)
+                if len(rows) and width >= WIDEST_BEAM:
+                    out[rows] = queries[rows] @ x.T >= least
+                    break
+                width = min(width * 4, WIDEST_BEAM, n)
         if same:
             np.fill_diagonal(out, False)
         linked = out.any(1)
@@ -57,7 +64,9 @@ def range_links(x: np.ndarray, layers: tuple, queries: np.ndarray, least: float,
             truth[np.arange(len(audit)), audit] = False
         if not (truth & ~out[audit]).any() or beam >= n:
             return out
-        beam = min(2 * beam, n)
+        beam *= 2
+        if beam > WIDEST_BEAM:
+            beam = n
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
