@@ -204,6 +204,30 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pairs_that_a_bucket_minimum_keeps_apart(spark, monkeypatch):
+    rows = [(f"{c}{i}", part, w) for c, part, w in (("a", "a", 1.0), ("b", "b", 0.9), ("c", "b", 0.81), ("d", "d", 0.5)) for i in range(7)]
+    members = spark.createDataFrame([(5, k.encode(), p.encode(), w, w) for k, p, w in rows] + [(6, k.encode(), b"one", w, w) for k, _, w in rows], "key bigint, content binary, part binary, weight double, rest double")
+    want = sorted((x[0].encode(), y[0].encode()) for x, y in itertools.combinations(rows, 2) if x[1] != y[1] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]))
+    for block in (1024, 3, 1):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        assert sorted((bytes(a), bytes(b)) for a, b in near_dup.cross_pairs(members, 0.8).collect()) == want
+    # one text in the middle of a pair and 40 others that share a passage with both: only the pair is similar
+    passage = prose(900, 200, 5000)
+    pairs = [f"{passage} {prose(1000 + i, 60, 5000)} {tail}" for i in range(12) for tail in ("left", "right")]
+    texts = [(i, t) for i, t in enumerate(pairs)] + [(100 + i, f"{passage} {prose(2000 + i, 60, 5000)}") for i in range(40)]
+    # one band of one sample: every bucket is the passage's, and the pairs differ from its smallest text
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs(spark, texts), bands=1, rows=1, threshold=0.95).collect()}
+    shared = collections.defaultdict(list)
+    freq, n = near_dup.bucket_frequencies(docs(spark, texts), "text", 5)
+    idf, h = near_dup.idf_table(freq, n), common.WordHasher()
+    for i, s in enumerate(near_dup.shingle_sets(h, pairs, 5)):
+        w = s[1] * idf[(s[0] & np.uint64((1 << near_dup.DF_BITS) - 1)).astype(np.int64)]
+        shared[i // 2].append(near_dup.samples(s[0], w, np.array([0]), 1, 11)[0, 0])
+    agree = [i for i, (a, b) in shared.items() if a == b]
+    assert len(agree) > 8 and len({shared[i][0] for i in agree}) < len(agree)
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in agree) and all(got[100 + i] == 100 + i for i in range(40))
+
+
 def test_samples_agree_as_often_as_weighted_jaccard():
     rng = np.random.default_rng(5)
     h = rng.integers(1, 2**63, 60, dtype=np.uint64)

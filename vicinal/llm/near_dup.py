@@ -17,6 +17,8 @@ DF_BITS = 20
 DF_PART = 1 << 14
 #: Up to so many 16-byte keys a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
 BROADCAST_KEYS = 200_000
+#: Parts of a bucket, and texts of a part, are compared in blocks of about so many.
+BLOCK = 1024
 U21 = np.uint64((1 << 21) - 1)
 
 
@@ -133,17 +135,59 @@ def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
+def prefix(shingles: tuple, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set, and the weight from each of them on; the first is the weight of the set.
+
+    All sets order shingles alike.  Sets at or above the threshold share that
+    share of either weight, so the first shingle they share is among these.
+    """
+    h, tf = shingles
+    w = idf[(h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)]
+    order = np.lexsort((h, -w))
+    left = np.cumsum((tf * w.astype(float))[order][::-1])[::-1]
+    n = int((left >= threshold * left[0] * (1 - 1e-9)).sum()) if len(h) else 0
+    return h[order[:n]], left[:n]
+
+
+def cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of texts that share a key but no part: from (key, content, part, weight, rest).
+
+    Parts of a key meet in blocks, and the texts of two parts in blocks
+    again, so pairs inside a part are never made and no task holds all of a
+    key.  `rest` bounds what a pair shares if this is the first key it
+    shares; where that is too little for the threshold the pair is left out.
+    The lighter text of a pair shares twice the threshold over one plus the
+    threshold of its own weight, so only texts with so much left begin pairs.
+    """
+    begins = F.col("rest") >= F.col("weight") * (2 * threshold / (1 + threshold) * (1 - 1e-9))
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"), F.max(begins).alias("begins"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max("begins").alias("any")).where("parts > 1 AND any").drop("any")
+    sizes = materialize(sizes.join(mixed, "key"), "parts")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), blocks("parts") - 1)
+    own = sizes.select("key", "part", "parts", "begins", blocks("n").alias("n"), F.pmod(F.xxhash64("part"), blocks("parts")).cast("int").alias("at"))
+    left = own.where("begins").select("key", F.col("part").alias("p"), F.col("n").alias("pn"), F.col("at").alias("i"), F.explode(every).alias("j"))
+    right = own.select("key", F.col("part").alias("q"), F.col("n").alias("qn"), F.col("at").alias("j"), F.explode(every).alias("i"))
+    two = left.join(right, ["key", "i", "j"]).where("p <> q")
+    two = two.select("key", "p", "q", "qn", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("s")).select("key", "p", "q", "s", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("t"))
+    texts = members.join(sizes.select("key", "part", "n"), ["key", "part"]).select("key", "part", "content", "weight", "rest", F.pmod(F.xxhash64("content"), blocks("n")).cast("int").alias("salt"))
+    two = two.join(texts.where(begins).toDF("key", "p", "a", "wa", "ra", "s"), ["key", "p", "s"]).join(texts.toDF("key", "q", "b", "wb", "rb", "t"), ["key", "q", "t"])
+    two = two.where("wa <= wb").where(F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) * (1 - 1e-9)))
+    return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 2, seed: int = 11) -> DataFrame:
     """Classes of near-duplicate documents: (doc_id, class_id, content) for every row.
 
     Words are split at ASCII white space with A-Z lower-cased; shingles of
     `size` words are weighted by term frequency times bucketed inverse
     document frequency.  Each distinct text (by MD5) gets bands * rows
-    samples.  Of every bucket, each text is linked with the bucket's smallest
-    key, and with the smallest one that agrees in the next band as well, so a
-    bucket of n texts gives at most 2n candidates.  Candidates with a
-    weighted Jaccard similarity of `threshold` or more are joined; class_id
-    is the smallest doc_id of a class.
+    samples.  Of every bucket, each text is first linked with the bucket's
+    smallest key, and with the smallest one that agrees in the next band as
+    well.  Then texts whose bucket has texts they are not joined to are
+    compared with all texts that share one of their rarest shingles, which
+    are all that can reach the threshold.  Pairs with a weighted Jaccard similarity of `threshold` or more are
+    joined; class_id is the smallest doc_id of a class.
 
     Null texts and texts without words form no class but that of equal texts:
     a null text stays alone (class_id is its own id).  A null id never names
@@ -184,14 +228,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"))
     buckets = texts.select(F.unhex("content").alias("content"), F.posexplode("keys").alias("level", "key"))
     stars = buckets.groupBy("level", "key").agg(F.min("content").alias("low"), F.count("*").alias("n")).where("n > 1")
-    links = materialize(
-        buckets.join(stars, ["level", "key"]).where("content <> low").select(F.hex("content").alias("a"), F.hex("low").alias("b")).distinct(), "candidates"
-    )
-    needed = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-    needed = needed.select(F.lower("key").alias("content"))
-    if needed.count() <= BROADCAST_KEYS:
-        needed = F.broadcast(needed)
-    bodies = materialize(src.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")), "texts")
+    shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf, last, kept = WordHasher(), weights.value, None, None
@@ -206,10 +243,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         good.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a_key[k] for k in good], pa.string()), "b": pa.array([b_key[k] for k in good], pa.string())})
 
-    pairs = links.select(F.lower("a").alias("a"), F.lower("b").alias("b"))
-    pairs = pairs.join(bodies.select(F.col("content").alias("a"), F.col("text").alias("a_text")), "a")
-    pairs = pairs.join(bodies.select(F.col("content").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    roots = components(pairs.mapInArrow(verify, "a string, b string"))
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, idf = WordHasher(), weights.value
+        for b in batches:
+            content, part, texts = (c.to_pylist() for c in b.columns)
+            for i, j in chunks_by_bytes(texts):
+                sets = [prefix(s, idf, threshold) for s in shingle_sets(hasher, texts[i:j], size)]
+                of = np.repeat(np.arange(i, j), [len(h) for h, _ in sets])
+                yield pa.RecordBatch.from_pydict({
+                    "key": pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)), "content": pa.array([content[k] for k in of], pa.binary()), "part": pa.array([part[k] for k in of], pa.binary()),
+                    "weight": pa.array(np.concatenate([r[:1].repeat(len(r)) for _, r in sets])), "rest": pa.array(np.concatenate([r for _, r in sets])),
+                })
+
+    def verified(links: DataFrame) -> DataFrame:
+        """The pairs (a, b) of binary keys whose texts reach the threshold, in hexadecimal."""
+        needed = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
+        needed = needed.select(F.lower(F.hex("key")).alias("content"))
+        if needed.count() <= BROADCAST_KEYS:
+            needed = F.broadcast(needed)
+        bodies = materialize(src.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")), "texts")
+        pairs = links.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
+        pairs = pairs.join(bodies.select(F.col("content").alias("a"), F.col("text").alias("a_text")), "a")
+        pairs = pairs.join(bodies.select(F.col("content").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+        return pairs.mapInArrow(verify, "a string, b string")
+
+    links = materialize(shared.where("content <> low").select(F.col("content").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
+    roots = components(verified(links))
+    # two bands that agree are a bucket of each band as well, so the buckets of the bands hold all pairs
+    parts = roots.select(F.unhex("id").alias("content"), F.unhex("component").alias("component"))
+    members = shared.where(F.col("level") < bands).join(parts, "content", "left").select("level", "key", "content", F.coalesce("component", "content").alias("part"))
+    members = materialize(members, "members")
+    mixed = members.groupBy("level", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    apart = materialize(members.join(mixed, ["level", "key"], "left_semi").select("content", "part").distinct(), "apart")
+    wanted = apart.select(F.lower(F.hex("content")).alias("content"), "part")
+    if apart.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    bodies = src.select("content", "text").join(wanted, "content").select(F.unhex("content").alias("content"), "part", "text")
+    keys = bodies.mapInArrow(index, "key bigint, content binary, part binary, weight double, rest double").dropDuplicates(["key", "content"])
+    tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(cross_pairs(materialize(keys, "rarest"), threshold).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = materialize(verified(rest), "more")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     first_ids = signed.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("low"))
     classes = first_ids.join(roots, F.col("content") == F.col("id"), "left").withColumn("component", F.coalesce("component", "content"))
     names = classes.groupBy("component").agg(F.min("low").alias("class_id"))
