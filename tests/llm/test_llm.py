@@ -290,6 +290,24 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs(spark, texts), bench.limit(0)).count() == 0 and decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_every_window_trains(spark, monkeypatch):
+    from vicinal.llm import attention as att
+    from vicinal.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "WARM_STEPS", 0)
+    with open(lm_scoring.TOKENIZER, encoding="utf-8") as f:
+        raw = f.read()
+    texts = [prose(i, n, 5000) for i, n in enumerate((3, 40, 400, 9000))]
+    chunks = [lm_scoring.Subwords(raw).chunk([t])[2:] for t in texts]
+    counts = np.bincount(np.concatenate([ids for ids, _ in chunks]), minlength=lm_scoring.VOCAB)
+    model = lm_scoring.prepare(counts, np.repeat(counts[:, None], lm_scoring.SIGNS, 1))
+    targets = sum(int((t >= 0).sum()) for _, t in lm_scoring.training_batches(model, iter(chunks)))
+    assert targets == sum(len(ids) - 1 for ids, _ in chunks)
+    # a single short document trains the network too
+    net = lm_scoring.refine(docs(spark, [(1, texts[0])]).repartition(1), model, raw, "text")
+    assert not np.allclose(net["c"], att.init()["c"])
+
+
 def test_unigram_scores_are_exact(spark, monkeypatch):
     import zlib
 
