@@ -254,6 +254,18 @@ def test_pii(spark):
     assert pii.pseudonymize(docs(spark, [])).count() == 0
 
 
+def test_pii_quick_test_skips_no_entity():
+    alone = {"8.8.8.8": "ip", "1.1.1.1": "ip", "4 7 8 5 3 8 0 5 9 2 3 9 1 1 3 9": "card", "4-7-8-5-3-8-0-5-9-2-3-9-1": "card", "fe8a:a:b:c:d:e:f:1": "ip6", "a:b:c:d:e:f:a:b": "ip6", "x@y.org": "email", "'" + "a" * 24 + "'": "secret", "GB29 NWBK 6016 1331 9268 19": "iban", "123-45-6789": "ssn", "+1 (4) 22": "phone", "Dr. Who": "person", "Anna Ivy": "person"}
+    for entity, kind in alone.items():
+        for text in (entity, f"see {entity}, please"):
+            want = [(m.lastgroup, m.start(), m.end()) for m in pii.ENTITY.finditer(text)]
+            assert pii.find(text) == want and [k for k, *_ in want] == [kind]
+    r = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(r.choices("1a: .-@+()BG'", k=r.randrange(8, 40)))
+        assert pii.find(text) == [(m.lastgroup, m.start(), m.end()) for m in pii.ENTITY.finditer(text)]
+
+
 def test_pii_collisions(spark):
     texts = [(i, f"Dear Mr. John {a}{b}{c}er said") for i, (a, b, c) in enumerate(itertools.product("BCDFGKLM", "aeiou", "bdklmn"))]
     out = [r.text for r in pii.pseudonymize(docs(spark, texts)).collect()]
