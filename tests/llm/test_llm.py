@@ -272,6 +272,20 @@ def test_pii_collisions(spark):
     assert len(set(out)) == len(texts)
 
 
+def test_pii_collisions_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(pii, "GIVEN_NAMES", {("latin", "f"): ["Anna"], ("latin", "m"): ["John", "Paul"]})
+    monkeypatch.setattr(pii, "FAMILY_PARTS", {"latin": (["Ack", "Bar"], ["berg", "den"])})  # 16 first names for 120
+    texts = [(i, f"Dear Mr. John {a}{b}{c}er said, Mr. John {a}{b}{c}er") for i, (a, b, c) in enumerate(itertools.product("BCDFG", "aeio", "bdklmn"))] + ODD
+    df = docs(spark, texts)
+    want = sorted(map(str, pii.pseudonymize(df, extra=True).collect()))
+    assert pii.collisions(df, b"vicinal").count() > 5
+    monkeypatch.setattr(pii, "LATE_BOUND", 5)
+    rows = pii.pseudonymize(df, extra=True).collect()
+    assert sorted(map(str, rows)) == want and len({r.text for r in rows if r.n_entities}) == 120
+    monkeypatch.undo()
+    assert len({pii.surrogate(b"k", "person", f"John F{i}x") for i in range(30_000)}) > 25_000  # 384 with one syllable
+
+
 # 9
 def test_language(spark):
     en, de = "the cat and the dog with this house that was there ", "der hund und die katze ist nicht auf dem haus gewesen "

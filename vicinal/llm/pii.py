@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,10 +192,11 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         out.append(like(w, pool[at if pool[at] != w else (at + 1) % len(pool)]))
     heads, tails = FAMILY_PARTS[script]
     n = keyed(key, "family", family.casefold(), attempt)
-    made = heads[n % len(heads)] + tails[n // 1000 % len(tails)]
-    extra = n // 10**6
-    while attempt and extra % 3:  # later attempts may be longer, so that names never run out
-        made, extra = heads[extra % len(heads)] + made.lower(), extra // 7 % 1000
+    n, i = divmod(n, len(tails))
+    made, parts = tails[i], 0
+    while parts < 3 or (attempt and n % 3):  # later attempts may be longer, so that names never run out
+        n, i = divmod(n // (3 if parts >= 3 else 1), len(heads))
+        made, parts = heads[i] + made.lower(), parts + 1
     return " ".join([*([title] if title else []), *out, like(family, made)])
 
 
@@ -228,7 +230,8 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 20
     Surrogates of all distinct entities are compared by a grouped minimum:
     of entities with one surrogate, and of those whose surrogate is a real
     entity of the corpus, all but the first move to the next attempt, until
-    no two entities share a surrogate.
+    no two entities share a surrogate.  It fails only where `rounds` rounds in
+    a row settle no further entity: a format with more entities than values.
     """
     @F.pandas_udf("string")
     def made(kind: pd.Series, mention: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -236,20 +239,46 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 20
 
     real = materialize(entities(docs, text), "entities")
     now = real.withColumn("attempt", F.lit(0))
-    for _ in range(rounds):
+    fewest, stuck = None, 0
+    while stuck < rounds:
         now = materialize(now.withColumn("fresh", made("kind", "mention", "attempt")), "surrogates")
         first = now.groupBy("kind", "fresh").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         taken = now.join(real.select("kind", F.col("canon").alias("fresh")), ["kind", "fresh"], "left_semi").select("kind", "canon", F.lit(True).alias("again"))
         twice = now.join(first.where("n > 1"), ["kind", "fresh"]).where("canon <> first.canon").select("kind", "canon", F.lit(True).alias("again"))
         again = materialize(taken.union(twice).distinct(), "again")
-        if again.isEmpty():
+        left = again.count()
+        if not left:
             return now.where("attempt > 0").select("kind", "canon", "attempt")
+        fewest, stuck = (left, 0) if fewest is None or left < fewest else (fewest, stuck + 1)
         now = now.drop("fresh").join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).drop("again")
     raise RuntimeError("surrogates still collide")
 
 
-#: Up to so many entities with a later attempt are sent to all tasks; more would mean that a name space is too small.
+#: Up to so many entities with a later attempt are sent to all tasks; more are joined to the texts that mention them.
 LATE_BOUND = 200_000
+#: Mentions of one entity are dealt over so many join keys.
+SALTS = 16
+
+
+def attach_attempts(docs: DataFrame, late: DataFrame, text: str) -> DataFrame:
+    """Adds __late, the later attempts (kind, canon, attempt) of the entities of each row's text, by a shuffled join."""
+    columns = docs.columns
+    at = columns.index(text)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, serial = TaskContext.get().partitionId(), 0
+        for b in batches:
+            found = [[{"kind": k, "canon": c} for k, c in sorted({(kind, canonical(kind, t[i:j])) for kind, i, j in find(t)})] for t in b.column(at).to_pylist()]
+            rows = pa.array((task << 33) + i for i in range(serial, serial + len(found)))
+            serial += len(found)
+            yield pa.RecordBatch.from_arrays([*b.columns, rows.cast(pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string())])))], names=[*columns, "__row", "__found"])
+
+    wide = docs.select("*", F.lit(0).cast("bigint").alias("__row"), F.array().cast("array<struct<kind:string,canon:string>>").alias("__found"))
+    rows = materialize(docs.mapInArrow(number, wide.schema), "mentions")
+    asked = rows.select("__row", F.explode("__found").alias("e")).select("__row", "e.kind", "e.canon", F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"))
+    given = late.select("kind", "canon", "attempt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    got = asked.join(given, ["kind", "canon", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__late"))
+    return rows.drop("__found").join(got, "__row", "left").select(*columns, "__late")
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", check: bool = True, extra: bool = False) -> DataFrame:
@@ -257,29 +286,34 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", c
 
     One entity gets one surrogate in all texts, different entities of a kind
     different ones, never a real one of the corpus: collisions() settles the
-    few that meet.  Beyond LATE_BOUND such entities the call fails rather
-    than give equal surrogates.  Null and empty texts stay.  With `extra`, columns n_entities and
+    few that meet, and beyond LATE_BOUND their attempts come by a shuffled
+    join instead of a broadcast.  Null and empty texts stay.  With `extra`, columns n_entities and
     kinds (the kinds found, in order, comma-separated) follow and replace
     input columns of these names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     late: dict[tuple[str, str], int] = {}
+    many = None
     if check:
-        rows = collisions(docs, key, text).limit(LATE_BOUND + 1).collect()
-        if len(rows) > LATE_BOUND:
-            raise RuntimeError("too many entities share surrogates")
-        late = {(r["kind"], r["canon"]): r["attempt"] for r in rows}
+        moved = collisions(docs, key, text)
+        if moved.count() > LATE_BOUND:
+            many = moved
+        else:
+            late = {(r["kind"], r["canon"]): r["attempt"] for r in moved.collect()}
     more = ["n_entities", "kinds"] if extra else []
     keep = [c for c in docs.columns if c not in more]
     at = keep.index(text)
-    sent = spark.sparkContext.broadcast(late)
+    sent, many_late = spark.sparkContext.broadcast(late), many is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempts = sent.value
         for b in batches:
             out, count, kinds = [], [], []
-            for t in b.column(at).to_pylist():
+            own = b.column(len(keep)).to_pylist() if many_late else None
+            for row, t in enumerate(b.column(at).to_pylist()):
+                if own is not None:
+                    attempts = {(e["kind"], e["canon"]): e["attempt"] for e in own[row] or []}
                 found = find(t)
                 parts, last = [], 0
                 for kind, i, j in found:
@@ -288,7 +322,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", c
                 out.append("".join([*parts, t[last:]]) if found else t)
                 count.append(len(found))
                 kinds.append(",".join(k for k, _, _ in found))
-            cols = list(b.columns)
+            cols = list(b.columns)[: len(keep)]
             cols[at] = pa.array(out, pa.string())
             if extra:
                 cols += [pa.array(count, pa.int32()), pa.array(kinds, pa.string())]
@@ -296,5 +330,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", c
 
     src = docs.select(*keep)
     wide = src.select("*", F.lit(0).alias("n_entities"), F.lit("").alias("kinds")) if extra else src
+    if many is not None:
+        return attach_attempts(src, many, text).mapInArrow(run, wide.schema)
     return src.mapInArrow(run, wide.schema)
 
