@@ -68,6 +68,20 @@ def test_viterbi_is_the_best_split():
         assert math.isclose(sum(map(m.log_p, m.segment(run))), best)
 
 
+def test_word_counts_are_exact(spark):
+    # two words of one of the 2**18 buckets that the counts once had
+    seen = {}
+    for w in map("".join, itertools.product("bcdfghklmnprst", "aeiou", "bcdfghklmnprst", "aeiou")):
+        first = seen.setdefault(url_filter.word_hash(w) & (1 << url_filter.BITS) - 1, w)
+        if first != w:
+            break
+    pages = spark.createDataFrame([(1, f"http://{first}{w}.net/{w}", " ".join([first] * 9 + [w] * 5 + ["elsewhere"] * 3))], "page_id bigint, url string, html string")
+    m = url_filter.learn(pages)
+    got = {x: int(m.counts[m.words == url_filter.word_hash(x)].sum()) for x in (first, w, "elsewhere")}
+    assert got == {first: 9, w: 6, "elsewhere": 0} and m.total == 9 + 5 + 3 + 4
+    assert url_filter.judge(pages, m).first().words == f"{first} {w} net"
+
+
 # 2
 @pytest.mark.parametrize("budget", [30, 90, 5000])
 def test_chat_round_trip(spark, budget):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import small_batches
+from vicinal.llm.common import materialize, small_batches
 
 #: A rule is (host/path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -24,7 +24,7 @@ SEED_WORDS = (
 #: Words known besides the corpus', as often as one word in so many.
 KNOWN_WORDS = (*SEED_WORDS, *"best buy cash cheap click deal farm fast free game games live online play shop track win".split())
 KNOWN_RATE = 20_000
-#: Word counts and token counts live in so many hash buckets; a word bucket keeps its most frequent word.
+#: Token counts live in so many hash buckets.
 BITS = 18
 LONGEST = 20
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -56,9 +56,9 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 @dataclass
 class UrlModel:
-    """Unigram word counts for the segmentation, token log odds for the verdict; both of fixed size."""
+    """Unigram word counts for the segmentation, token log odds for the verdict."""
 
-    words: np.ndarray  # fingerprint of each bucket's word
+    words: np.ndarray  # hashes of the words, in order
     counts: np.ndarray
     total: float
     odds: np.ndarray | None = None
@@ -67,9 +67,9 @@ class UrlModel:
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def log_p(self, word: str) -> float:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-        at = h & ((1 << BITS) - 1)
-        n = float(self.counts[at]) if int(self.words[at]) == (h if h < 1 << 63 else h - (1 << 64)) else 0.0
+        h = word_hash(word)
+        at = min(int(self.words.searchsorted(h)), len(self.words) - 1)
+        n = float(self.counts[at]) if at >= 0 and int(self.words[at]) == h else 0.0
         n = max(n, self.extra.get(word, 0.0))
         if n > 0:
             return math.log(n / self.total)
@@ -101,27 +101,52 @@ def token_bucket(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 7) & ((1 << BITS) - 1)
 
 
+def word_hash(word: str) -> int:
+    """Spark's xxhash64 of the word."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+    return h if h < 1 << 63 else h - (1 << 64)
+
+
+def url_parts(pages: DataFrame, url: str) -> DataFrame:
+    """Hashes of all strings of 20 letters at most inside the runs of letters of the urls: one column, h."""
+
+    def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {r for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for part in (host, path.lower()) for r in LETTERS.findall(part)}
+            yield pa.RecordBatch.from_pydict({"run": pa.array(found, pa.string())})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {r[i:j] for r in b.column(0).to_pylist() for i in range(len(r)) for j in range(i + 1, min(i + LONGEST, len(r)) + 1)}
+            yield pa.RecordBatch.from_pydict({"h": pa.array([word_hash(w) for w in found], pa.int64())})
+
+    c = F.col(url)
+    runs = pages.select(host_of(c).alias("host"), path_of(c).alias("path")).mapInArrow(find_runs, "run string").distinct()
+    return runs.mapInArrow(cut, "h bigint").distinct()
+
+
 def learn(pages: DataFrame, url: str = "url", html: str | None = "html") -> UrlModel:
     """Counts the words of all pages' html (and urls), then the url tokens of wanted and unwanted pages.
 
-    A page is an unwanted example if a word of its segmented url is a seed
-    word, and a wanted one otherwise.  Both tables have 2**18 buckets,
-    whatever the number of pages.
+    A page is an unwanted example if a word of its segmented url     word, and a wanted one otherwise.  Word counts are exact, and kept for
+    the words inside some url; token counts have 2**18 buckets, whatever the
+    number of pages.  Urls not among these pages may hold words left out.
     """
     spark = pages.sparkSession
     small_batches(spark)
     text = F.concat_ws(" ", *[F.col(c) for c in (html, url) if c])
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where("w <> '' AND length(w) <= 20")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    kept = counts.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")).agg(F.max(F.struct("n", F.xxhash64("w").alias("h"))).alias("m"), F.sum("n").alias("all"))
-    got = kept.select("bucket", "m.n", "m.h", "all").toPandas()
-    model = UrlModel(np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), float(got["all"].sum() or 1))
-    at = got["bucket"].to_numpy(np.int64)
-    model.words[at], model.counts[at] = got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).select(F.xxhash64("w").alias("h"), "n"), "words")
+    total = counts.agg(F.sum("n")).first()[0]
+    got = counts.join(url_parts(pages, url), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n")).toPandas().sort_values("h")
+    model = UrlModel(got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64), float(total or 1))
     model.extra = {w: model.total / KNOWN_RATE for w in KNOWN_WORDS}
     seeds = {f"{p}:{w}" for w in SEED_WORDS for p in "hp"}
 
+    sent = spark.sparkContext.broadcast(model)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         n = np.zeros((2, (1 << BITS) + 1), np.int64)  # the last place counts pages
         for b in batches:
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
