@@ -156,23 +156,19 @@ def cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
     again, so pairs inside a part are never made and no task holds all of a
     key.  `rest` bounds what a pair shares if this is the first key it
     shares; where that is too little for the threshold the pair is left out.
-    The lighter text of a pair shares twice the threshold over one plus the
-    threshold of its own weight, so only texts with so much left begin pairs.
     """
-    begins = F.col("rest") >= F.col("weight") * (2 * threshold / (1 + threshold) * (1 - 1e-9))
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"), F.max(begins).alias("begins"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max("begins").alias("any")).where("parts > 1 AND any").drop("any")
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
     sizes = materialize(sizes.join(mixed, "key"), "parts")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    every = F.sequence(F.lit(0), blocks("parts") - 1)
-    own = sizes.select("key", "part", "parts", "begins", blocks("n").alias("n"), F.pmod(F.xxhash64("part"), blocks("parts")).cast("int").alias("at"))
-    left = own.where("begins").select("key", F.col("part").alias("p"), F.col("n").alias("pn"), F.col("at").alias("i"), F.explode(every).alias("j"))
-    right = own.select("key", F.col("part").alias("q"), F.col("n").alias("qn"), F.col("at").alias("j"), F.explode(every).alias("i"))
-    two = left.join(right, ["key", "i", "j"]).where("p <> q")
+    own = sizes.select("key", "part", "n", blocks("parts").alias("of"), F.pmod(F.xxhash64("part"), blocks("parts")).cast("int").alias("at"))
+    left = own.select("key", F.col("part").alias("p"), blocks("n").alias("pn"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("of") - 1)).alias("j"))
+    right = own.select("key", F.col("part").alias("q"), blocks("n").alias("qn"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0), "at")).alias("i"))
+    two = left.join(right, ["key", "i", "j"]).where("i < j OR p < q")
     two = two.select("key", "p", "q", "qn", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("s")).select("key", "p", "q", "s", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("t"))
     texts = members.join(sizes.select("key", "part", "n"), ["key", "part"]).select("key", "part", "content", "weight", "rest", F.pmod(F.xxhash64("content"), blocks("n")).cast("int").alias("salt"))
-    two = two.join(texts.where(begins).toDF("key", "p", "a", "wa", "ra", "s"), ["key", "p", "s"]).join(texts.toDF("key", "q", "b", "wb", "rb", "t"), ["key", "q", "t"])
-    two = two.where("wa <= wb").where(F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) * (1 - 1e-9)))
+    two = two.join(texts.toDF("key", "p", "a", "wa", "ra", "s"), ["key", "p", "s"]).join(texts.toDF("key", "q", "b", "wb", "rb", "t"), ["key", "q", "t"])
+    two = two.where(F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) * (1 - 1e-9)))
     return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
