@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, and a worker holds about one batch.
+#: Rows that a worker turns into Python objects at once; Spark bounds its Arrow batches by bytes.
 BATCH_ROWS = 256
 
 
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the Arrow batches handed to Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that few texts are Python objects at a time; no setting of the session is touched."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -121,9 +125,9 @@ class WordHasher:
     scrambled together with the word's length.
     """
 
-    def __init__(self, seed: int = 20240607):
+    def __init__(self, seed: int = 20240607, symbols: int = 256):
         rng = np.random.default_rng(seed)
-        self.sub = rng.integers(1, 2**63, 256, dtype=np.uint64)
+        self.sub = rng.integers(1, 2**63, symbols, dtype=np.uint64)
         self.low = np.arange(256, dtype=np.uint8)
         self.low[65:91] += 32
         self.space = np.zeros(256, bool)
@@ -152,6 +156,7 @@ class WordHasher:
         return buf, starts, ends, np.searchsorted(bounds, starts, side="right")
 
     def hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches of buf, whose values are bytes or other symbols."""
         self._grow(len(buf) + 1)
         pre = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.sub[buf] * self.pw[: len(buf)], out=pre[1:])

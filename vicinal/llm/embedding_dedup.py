@@ -146,7 +146,6 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
 
     kind = "label string, dim int, shard int, ids binary, counts binary, vectors binary, graph binary"
     cols = [F.col(c) for c in ("label", "dim", "shard", "rep", "n", "embedding")]
-    small_batches(spark, 1024)
     graphs = materialize(dealt.select(*cols).groupBy("label", "dim", "shard").applyInArrow(graph, kind), "graphs")
     keys = graphs.select("label", "dim", F.col("shard").alias("a"))
     pairs = keys.join(graphs.select("label", "dim", F.col("shard").alias("b")), ["label", "dim"]).where("a <= b")
@@ -155,7 +154,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     work = work.select("dim", (F.col("a") == F.col("b")).alias("same"), *[f"{s}_{c}" for s in "ab" for c in ("ids", "counts", "vectors", "graph")])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for row in batch.to_pylist():
                 ids, counts, big, small, layers = {}, {}, {}, {}, {}
                 for s in "ab":
@@ -184,9 +183,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                 for a, n, low in out:
                     yield pa.RecordBatch.from_pydict({"rep": pa.array(a), "links": pa.array(n.astype(np.int64)), "low": pa.array(low)})
 
-    small_batches(spark, 2)
     found = materialize(work.mapInArrow(link, "rep bigint, links bigint, low bigint"), "links")
-    small_batches(spark)
     roots = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.join(totals, "rep", "left").join(roots, F.col("rep") == F.col("id"), "left").select(

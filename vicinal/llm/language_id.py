@@ -71,11 +71,10 @@ def learn_prototypes(docs: DataFrame, lang: str = "lang", text: str = "text", di
     Trigrams are counted in each task and summed by (lang, trigram), at most
     2**18 rows a language; the driver gets one vector for each language.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in small_batches(batches):
             langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
             code, doc, _ = trigrams(texts)
             for name in set(langs):
@@ -131,7 +130,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     if no language was learned.  Equal cosines go to the first name in order.
     Existing columns named lang_pred or score are replaced.
     """
-    small_batches(docs.sparkSession)
     names = sorted(prototypes)
     protos = np.array([prototypes[n] for n in names]).reshape(len(names), dim)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -139,7 +137,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, cache = letter_vectors(dim, seed), {}
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column(at).to_pylist()
             lang, value = [], []
             for i in range(0, len(texts), 64):

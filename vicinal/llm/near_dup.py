@@ -59,7 +59,7 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, n, total = WordHasher(), np.zeros(1 << DF_BITS, np.int64), 0
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column(0).to_pylist()
             total += len(texts)
             for i, j in chunks_by_bytes(texts):
@@ -191,7 +191,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("content"))
     freq, n_docs = bucket_frequencies(src, "text", size)
     weights = spark.sparkContext.broadcast(idf_table(freq, n_docs))  # 4 MB, whatever the corpus
@@ -199,7 +198,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf = WordHasher(), weights.value
-        for b in batches:
+        for b in small_batches(batches):
             texts, keys = b.column(1).to_pylist(), []
             for i, j in chunks_by_bytes(texts):
                 sets = shingle_sets(hasher, texts[i:j], size)
@@ -228,7 +227,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf, last, kept = WordHasher(), weights.value, None, None
-        for b in batches:
+        for b in small_batches(batches):
             a_key, b_key, a_text, b_text = (c.to_pylist() for c in b.columns)
             good = []
             for i, j in chunks_by_bytes(a_text):
@@ -241,7 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf = WordHasher(), weights.value
-        for b in batches:
+        for b in small_batches(batches):
             content, part, texts = (c.to_pylist() for c in b.columns)
             for i, j in chunks_by_bytes(texts):
                 sets = [prefix(s, idf, threshold) for s in shingle_sets(hasher, texts[i:j], size)]

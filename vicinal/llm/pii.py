@@ -209,10 +209,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct entities of all texts with a mention of each: (kind, canon, mention)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             seen: dict[tuple[str, str], str] = {}
             for t in b.column(0).to_pylist():
                 for kind, i, j in find(t):
@@ -267,7 +266,7 @@ def attach_attempts(docs: DataFrame, late: DataFrame, text: str) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in small_batches(batches):
             found = [[{"kind": k, "canon": c} for k, c in sorted({(kind, canonical(kind, t[i:j])) for kind, i, j in find(t)})] for t in b.column(at).to_pylist()]
             rows = pa.array((task << 33) + i for i in range(serial, serial + len(found)))
             serial += len(found)
@@ -292,7 +291,6 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", c
     input columns of these names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     late: dict[tuple[str, str], int] = {}
     many = None
     if check:
@@ -308,7 +306,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempts = sent.value
-        for b in batches:
+        for b in small_batches(batches):
             out, count, kinds = [], [], []
             own = b.column(len(keep)).to_pylist() if many_late else None
             for row, t in enumerate(b.column(at).to_pylist()):

@@ -108,13 +108,12 @@ def classify(docs: DataFrame, model: CompressionModel, text: str = "text", thres
     The whole text counts, cut in chunks of 512 bytes; a null text scores as
     an empty one.  Existing columns named score or predicted are replaced.
     """
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = compressors(model.dictionaries)
-        for b in batches:
+        for b in small_batches(batches):
             x = np.array([features(t, both) for t in b.column(at).to_pylist()]).reshape(-1, len(model.weights))
             s = 1 / (1 + np.exp(-np.clip((x - model.mean) / model.scale @ model.weights, -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])

@@ -111,12 +111,12 @@ def url_parts(pages: DataFrame, url: str) -> DataFrame:
     """Hashes of all strings of 20 letters at most inside the runs of letters of the urls: one column, h."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             found = {r for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for part in (host, path.lower()) for r in LETTERS.findall(part)}
             yield pa.RecordBatch.from_pydict({"run": pa.array(found, pa.string())})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             found = {r[i:j] for r in b.column(0).to_pylist() for i in range(len(r)) for j in range(i + 1, min(i + LONGEST, len(r)) + 1)}
             yield pa.RecordBatch.from_pydict({"h": pa.array([word_hash(w) for w in found], pa.int64())})
 
@@ -133,7 +133,6 @@ def learn(pages: DataFrame, url: str = "url", html: str | None = "html") -> UrlM
     number of pages.  Urls not among these pages may hold words left out.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     text = F.concat_ws(" ", *[F.col(c) for c in (html, url) if c])
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where("w <> '' AND length(w) <= 20")
     counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).select(F.xxhash64("w").alias("h"), "n"), "words")
@@ -148,7 +147,7 @@ def learn(pages: DataFrame, url: str = "url", html: str | None = "html") -> UrlM
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         n = np.zeros((2, (1 << BITS) + 1), np.int64)  # the last place counts pages
-        for b in batches:
+        for b in small_batches(batches):
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = model.tokens(host, path)
                 bad = int(not seeds.isdisjoint(tokens))
@@ -179,7 +178,6 @@ def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules=RULES) -> D
     prior's score.  Existing columns of these names are replaced.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     added = ["host", "path", "rule", "verdict", "words", "score"]
     keep = [c for c in pages.columns if c not in added]
     c = F.col(url)
@@ -191,7 +189,7 @@ def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules=RULES) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in small_batches(batches):
             verdict, words, scores = [], [], []
             for host, path, given in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), b.column(at + 3).to_pylist(), strict=True):
                 tokens = m.tokens(host, path)
