@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 4 * BATCH_ROWS) -> Iterator[None]:
+    """Fewer rows in the Arrow batches of the actions inside; the session's own setting is back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a reader of it.
 
@@ -45,7 +58,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vicinal_path = path
     return out
