@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import ipaddress
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import materialize, small_batches
+from vicinal.llm.common import small_batches
 
 #: Given names by (script, gender); a name is replaced by another of the same row.
 GIVEN_NAMES = {
@@ -25,31 +24,30 @@ GIVEN_NAMES = {
     ("greek", "f"): "Αθηνά Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-FAMILY_PARTS = {
-    "latin": ("Ack Ald Bar Ben Bur Cal Car Dal Dur Ed Fal Gar Hal Har Kel Lan Mar Nor Pal Ros Sal Tor Val Wel".split(), "berg den er field ford ham land ley man more sen son stein ton wood worth".split()),
-    "cyrillic": ("Бел Вол Гор Дан Ель Жар Зор Кар Лес Мор Ник Пав Рад Сав Тих Фад".split(), "ов ин аев енко ский ич".split()),
-    "greek": ("Αλεξ Βασ Γεωργ Δημ Κων Μαρ Νικ Παπ Σταμ Χρυσ".split(), "όπουλος ίδης άκης άτος".split()),
-}
 TITLES = {"Mr": "m", "Mr.": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Sir": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Dr": "", "Dr.": ""}
 BY_NAME = {n: key for key, names in GIVEN_NAMES.items() for n in names}
 
 _WORD = r"[^\W\d_]"
+_CAP = rf"(?![a-zß-öø-ÿа-яёα-ωάέήίόύώ]){_WORD}{{2,}}(?:-{_WORD}+)?"
+#: Well-known shapes of keys: a fixed beginning, then letters and digits.
+_token = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{30,255}|glpat-[0-9A-Za-z_-]{20,64}|sk-[0-9A-Za-z_-]{20,200}|sk_live_[0-9A-Za-z]{16,64}|xox[abeprs]-[0-9A-Za-z-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,2000}\.eyJ[0-9A-Za-z_-]{10,4000}\.[0-9A-Za-z_-]{10,2000}"
 _name = "|".join(sorted(map(re.escape, BY_NAME), key=len, reverse=True))
 _title = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 #: One scan finds all types; earlier alternatives win.
 ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
+    rf"|(?P<token>(?<![0-9A-Za-z_-])(?:{_token})(?![0-9A-Za-z_-]))"
     r"|(?P<secret>(?<=[\"'])[0-9a-fA-F]{24,128}(?=[\"'])|(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
-    r"|(?P<ip6>(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:]))"
+    r"|(?P<ip6>(?<![\w:])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*::)(?=[a-fA-F:]*\d)(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?)(?![\w:]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\w-]))"
-    rf"|(?P<person>(?<!\w)(?:(?:{_title}) (?:(?:{_name}) )?[^\W\d_a-zа-яα-ω]{_WORD}+|(?:{_name}) [^\W\d_a-zа-яα-ω]{_WORD}+)(?!\w))"
+    rf"|(?P<person>(?<!\w)(?:(?:{_title}) (?:{_CAP} )?{_CAP}|(?:{_name}) {_CAP}|(?<=name is ){_CAP} {_CAP}|(?<=Name: ){_CAP} {_CAP}|(?<=Dear ){_CAP} {_CAP}|(?<=Contact: ){_CAP} {_CAP}|(?<=Author: ){_CAP} {_CAP}|(?<=Signed, ){_CAP} {_CAP})(?!\w))"
 )
 #: Every entity holds one of these, so a text without any is spared the scan above.
-QUICK = re.compile(rf"@|\d[ .-]?\d|:[0-9a-fA-F]|[0-9a-fA-F]{{24}}|(?<!\w)(?:{_title}|{_name}) ")
+QUICK = re.compile(rf"@|\d[ .-]?\d|:[0-9a-fA-F:]|[0-9a-fA-F]{{24}}|A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk[-_]|xox|AIza|eyJ|name is |Name: |Dear |Contact: |Author: |Signed, |(?<!\w)(?:{_title}|{_name}) ")
 
 
 def luhn(digits: str) -> int:
@@ -62,53 +60,94 @@ def luhn(digits: str) -> int:
 
 
 def keyed(key: bytes, *parts: object) -> int:
-    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:16], "big")
+    return int.from_bytes(hmac.digest(key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), "sha256")[:16], "big")
 
 
-def permute(key: bytes, label: str, value: int, size: int) -> int:
-    """A keyed permutation of 0..size-1: a balanced Feistel network, walked until inside the range."""
+def walk(key: bytes, label: str, value: int, size: int, back: bool = False) -> int:
+    """A keyed permutation of 0..size-1 or its inverse: a balanced Feistel network, walked until inside the range."""
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         a, b = value >> half, value & mask
         for i in range(6):
-            a, b = b, a ^ (keyed(key, label, i, b) & mask)
+            if back:
+                a, b = b ^ (wide(key, label, 5 - i, a, half) & mask), a
+            else:
+                a, b = b, a ^ (wide(key, label, i, b, half) & mask)
         value = (a << half) | b
         if value < size:
             return value
 
 
-def shuffled(key: bytes, label: str, alphabet: str, text: str, attempt: int) -> str:
-    """Permutes the strings of this length over the alphabet; `attempt` walks on along the cycle."""
-    n, value = len(alphabet), 0
-    for c in text:
-        value = value * n + alphabet.index(c)
-    for _ in range(attempt + 1):
-        value = permute(key, f"{label}{len(text)}", value, n ** len(text))
-    out = ""
-    for _ in text:
-        value, r = divmod(value, n)
-        out = alphabet[r] + out
+def wide(key: bytes, label: str, round_: int, value: int, bits: int) -> int:
+    """At least `bits` keyed bits."""
+    out = 0
+    for i in range(bits // 128 + 1):
+        out = (out << 128) | keyed(key, label, round_, i, f"{value:x}")
     return out
 
 
+def permute(key: bytes, label: str, value: int, size: int) -> int:
+    """A keyed permutation of 0..size-1 that leaves no value in place, if there are two or more."""
+    return walk(key, label, (walk(key, label, value, size, True) + 1) % size, size)
+
+
+DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+#: Letters are exchanged inside these, so that made names can be spoken.
+ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+_CLASS = {c: a for a in ALPHABETS for c in a}
+
+
+def class_of(c: str) -> str:
+    """The letters that may stand for c: of its alphabet, or of the same kind among the 64 code points around it; c alone if it is no letter."""
+    if c not in _CLASS:
+        kind, first = unicodedata.category(c), ord(c) // 64 * 64
+        near = "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x not in "".join(ALPHABETS) and len(x.lower()) == 1)
+        _CLASS[c] = near if kind[0] == "L" and c in near else c
+    return _CLASS[c]
+
+
+def exchange(key: bytes, label: str, text: str, class_: Callable[[str], str]) -> str:
+    """Permutes all texts of one pattern of classes among themselves; no text with a class of two letters stays.
+
+    The pattern is part of what the permutation depends on, so texts of all
+    patterns together are permuted: different texts never meet.
+    """
+    classes = [class_(c) for c in text]
+    size, value = 1, 0
+    for c, letters in zip(text, classes, strict=True):
+        size, value = size * len(letters), value * len(letters) + letters.index(c)
+    if size < 2:
+        return text
+    value = permute(key, f"{label}\x1e{''.join(letters[0] for letters in classes)}", value, size)
+    out = []
+    for letters in reversed(classes):
+        value, r = divmod(value, len(letters))
+        out.append(letters[r])
+    return "".join(reversed(out))
+
+
+def among(*alphabets: str) -> Callable[[str], str]:
+    by = {c: a for a in alphabets for c in a}
+    return lambda c: by.get(c, c)
+
+
 def in_place(pattern: str, fresh: str, chars: str) -> str:
     """Puts the fresh characters, in order, where the pattern has characters of `chars`."""
     it = iter(fresh)
     return "".join(next(it) if c in chars else c for c in pattern)
 
 
-DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
-
-
 def script_of(word: str) -> str:
     c = ord(word[0])
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
 
 
 def like(pattern: str, word: str) -> str:
-    """The word in the pattern's letter case."""
-    return word.upper() if pattern.isupper() and len(pattern) > 1 else word.lower() if pattern.islower() else word
+    """The word in the pattern's letter case, letter by letter where the lengths agree."""
+    if len(pattern) == len(word):
+        return "".join(w.upper() if p.isupper() and len(w.upper()) == 1 else w for p, w in zip(pattern, word, strict=True))
+    return word.upper() if pattern.isupper() and len(pattern) > 1 else word.title() if pattern[:1].isupper() else word
 
 
 def canonical(kind: str, value: str) -> str:
@@ -117,87 +156,94 @@ def canonical(kind: str, value: str) -> str:
         return re.sub(r"[ -]", "", value)
     if kind == "phone":
         return ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
-    if kind in ("email", "secret", "ip6"):
+    if kind in ("email", "secret"):
         return value.lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded if is_ip6(value) else value.lower()
     if kind == "person":
-        words = [w for w in value.split(" ") if w not in TITLES]
-        return " ".join(words).casefold()
+        return " ".join(w.lower() for w in value.split(" ") if w not in TITLES)
     return value
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
+def is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
+def name_part(key: bytes, word: str) -> str:
+    """The surrogate of a family name, or of a given name that no list has: the same wherever the word stands."""
+    return like(word, exchange(key, "name", word.lower(), class_of))
+
+
+def given_part(key: bytes, word: str) -> str:
+    """The surrogate of a given name: of its list's script and gender, else as name_part(), but never a listed name."""
+    own = BY_NAME.get(word.title())
+    if own:
+        pool = GIVEN_NAMES[own]
+        return like(word, pool[permute(key, f"given{own}", pool.index(word.title()), len(pool))])
+    out = name_part(key, word)
+    while out.title() in BY_NAME:  # walking on keeps different names different
+        out = name_part(key, out)
+    return out
+
+
+def surrogate(key: bytes, kind: str, value: str) -> str:
     """The replacement of one mention; it depends on the key and the canonical form only, but for punctuation and case.
 
-    Numbers, addresses and secrets go through keyed permutations of the
-    values of their length, so different entities of a format never meet.
-    A later attempt gives another value.
+    Every kind goes through keyed permutations of the values of its format
+    that leave nothing in place, so different entities never meet and none
+    stays; a family name has one surrogate, whoever bears it and with or
+    without a title or given name.
     """
     canon = canonical(kind, value)
     if kind == "email":
         user, _, host = canon.partition("@")
-        labels = host.split(".")
-        mix = lambda part, tag: in_place(part, shuffled(key, tag, LOWER, "".join(c for c in part if c in LOWER), attempt) + "", LOWER) if any(c in LOWER for c in part) else part
-        digits = "".join(c for c in user if c in DIGITS)
-        fresh = in_place(mix(user, "user"), shuffled(key, "userd", DIGITS, digits, attempt), DIGITS) if digits else mix(user, "user")
-        other = "".join(c for c in user if c not in LOWER + DIGITS + "._+-")
-        if other:  # letters of other scripts become letters of a keyed digest
-            fresh = "".join(LOWER[keyed(key, "other", canon, attempt, i) % 26] if c in other else c for i, c in enumerate(fresh))
-        tag = "".join(LOWER[keyed(key, "host", host, i) % 26] for i in range(10))
-        made = f"{fresh}@{tag}.example.{labels[-1] if labels[-1] in ('com', 'org', 'net') else 'org'}"
+        plain = lambda c: DIGITS if c in DIGITS else LOWER if c in LOWER else class_of(c)
+        last = host.rpartition(".")[2]
+        made = f"{exchange(key, 'user', user, plain)}@{exchange(key, 'host', host, plain)}.example.{last if last in ('com', 'org', 'net') else 'org'}"
         return made.upper() if value.isupper() else made
     if kind == "secret":
-        made = shuffled(key, "hex", HEX, canon, attempt)
+        made = exchange(key, "hex", canon, among(HEX))
         return made.upper() if value.upper() == value else made
+    if kind == "token":
+        keep = re.match(r"A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk-|xox.-|AIza|eyJ", value)
+        cut = keep.end() if keep else 0
+        return value[:cut] + exchange(key, f"token{value[:cut]}", value[cut:], among(DIGITS, LOWER, UPPER))
     if kind == "ip":
         parts = value.split(".")
-        number = 0
-        for p in parts:
-            number = number * 1000 + int(p)
-        if all(int(p) < 256 for p in parts):
-            n = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in parts)))
-            for _ in range(attempt + 1):
-                n = permute(key, "ip", n, 1 << 32)
-            return str(ipaddress.IPv4Address(n))
-        return in_place(value, shuffled(key, "ipx", DIGITS, "".join(parts), attempt), DIGITS)
+        if all(int(p) < 256 and str(int(p)) == p for p in parts):
+            return str(ipaddress.IPv4Address(permute(key, "ip", int(ipaddress.IPv4Address(value)), 1 << 32)))
+        out = exchange(key, "ipx", value, among(DIGITS))
+        while all(int(p) < 256 and str(int(p)) == p for p in out.split(".")):  # an address only stands for an address
+            out = exchange(key, "ipx", out, among(DIGITS))
+        return out
     if kind == "ip6":
-        plain = canon.replace(":", "")
-        return in_place(canon, shuffled(key, "ip6", HEX, plain, attempt), HEX)
+        if not is_ip6(value):
+            return exchange(key, "ip6", canon, among(HEX))
+        made = ipaddress.IPv6Address(permute(key, "ip6", int(ipaddress.IPv6Address(value)), 1 << 128))
+        return made.compressed if "::" in value else made.exploded
     if kind == "card":
-        body = shuffled(key, "card", DIGITS, canon[1:-1], attempt)
-        valid = luhn(canon) == 0  # a valid number stays valid, another stays invalid
-        digits = DIGITS if valid else canon[-1] + DIGITS
-        last = next(d for d in digits if (luhn(canon[0] + body + d) == 0) == valid)
-        return in_place(value, canon[0] + body + last, DIGITS)
+        body, check = canon[:-1], lambda b: -luhn(b + "0") % 10
+        fresh = canon[0] + exchange(key, "card" + canon[0], body[1:], among(DIGITS))
+        return in_place(value, f"{fresh}{(check(fresh) + int(canon[-1]) - check(body)) % 10}", DIGITS)  # a valid number stays valid, another invalid
     if kind == "ssn":
-        return in_place(value, shuffled(key, "ssn", DIGITS, canon, attempt), DIGITS)
+        return in_place(value, exchange(key, "ssn", canon, among(DIGITS)), DIGITS)
     if kind == "iban":
-        body = canon[4:]
-        mixed = in_place(body, shuffled(key, "iban", DIGITS, "".join(c for c in body if c in DIGITS), attempt), DIGITS)
-        check = 98 - int("".join(str(int(c, 36)) for c in mixed + canon[:2] + "00")) % 97
-        return in_place(value, f"{canon[:2]}{check:02d}{mixed}", DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        country, body = canon[:2], canon[4:]
+        check = lambda b: 98 - int("".join(str(int(c, 36)) for c in b + country + "00")) % 97
+        fresh = exchange(key, "iban" + country, body, among(DIGITS, UPPER))
+        return in_place(value, f"{country}{(check(fresh) + int(canon[2:4]) - check(body)) % 100:02d}{fresh}", DIGITS + UPPER)
     if kind == "phone":
         digits = canon.lstrip("+")
         head = re.match(r"\+(\d{1,3})(?=\D)", value)
         cut = len(head[1]) if head else 0
-        return in_place(value, digits[:cut] + shuffled(key, f"phone{digits[:cut]}", DIGITS, digits[cut:], attempt), DIGITS)
-    words, out = value.split(" "), []
-    title = words[0] if words[0] in TITLES else None
-    names = words[1:] if title else words
-    script = script_of(names[-1])
-    family = names[-1]
-    for w in names[:-1]:
-        own = BY_NAME.get(w) or (script, TITLES.get(title or "", "") or "f")
-        pool = GIVEN_NAMES[own]
-        at = permute(key, f"given{own}", pool.index(w) if w in pool else 0, len(pool))
-        out.append(like(w, pool[at if pool[at] != w else (at + 1) % len(pool)]))
-    heads, tails = FAMILY_PARTS[script]
-    n = keyed(key, "family", family.casefold(), attempt)
-    n, i = divmod(n, len(tails))
-    made, parts = tails[i], 0
-    while parts < 3 or (attempt and n % 3):  # later attempts may be longer, so that names never run out
-        n, i = divmod(n // (3 if parts >= 3 else 1), len(heads))
-        made, parts = heads[i] + made.lower(), parts + 1
-    return " ".join([*([title] if title else []), *out, like(family, made)])
+        return in_place(value, digits[:cut] + exchange(key, f"phone{digits[:cut]}", digits[cut:], among(DIGITS)), DIGITS)
+    words = value.split(" ")
+    title = [words.pop(0)] if words[0] in TITLES else []
+    return " ".join([*title, *(given_part(key, w) for w in words[:-1]), name_part(key, words[-1])])
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -223,112 +269,64 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "kind string, canon string, mention string").groupBy("kind", "canon").agg(F.min("mention").alias("mention"))
 
 
-def collisions(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 20) -> DataFrame:
-    """Entities that need a later attempt: (kind, canon, attempt), attempt > 0.
+def collisions(docs: DataFrame, key: bytes = b"vicinal", text: str = "text") -> DataFrame:
+    """Audit of a corpus: (kind, fresh, n) for surrogates that several entities share or that equal their entity.
 
-    Surrogates of all distinct entities are compared by a grouped minimum:
-    of entities with one surrogate, and of those whose surrogate is a real
-    entity of the corpus, all but the first move to the next attempt, until
-    no two entities share a surrogate.  It fails only where `rounds` rounds in
-    a row settle no further entity: a format with more entities than values.
+    The permutations make it empty; it is a check on that, by one grouped
+    count over all distinct entities, and costs a pass over the texts.
     """
+
     @F.pandas_udf("string")
-    def made(kind: pd.Series, mention: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([canonical(k, surrogate(key, k, m, int(a))) for k, m, a in zip(kind, mention, attempt, strict=True)], dtype=object)
-
-    real = materialize(entities(docs, text), "entities")
-    now = real.withColumn("attempt", F.lit(0))
-    fewest, stuck = None, 0
-    while stuck < rounds:
-        now = materialize(now.withColumn("fresh", made("kind", "mention", "attempt")), "surrogates")
-        first = now.groupBy("kind", "fresh").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
-        taken = now.join(real.select("kind", F.col("canon").alias("fresh")), ["kind", "fresh"], "left_semi").select("kind", "canon", F.lit(True).alias("again"))
-        twice = now.join(first.where("n > 1"), ["kind", "fresh"]).where("canon <> first.canon").select("kind", "canon", F.lit(True).alias("again"))
-        again = materialize(taken.union(twice).distinct(), "again")
-        left = again.count()
-        if not left:
-            return now.where("attempt > 0").select("kind", "canon", "attempt")
-        fewest, stuck = (left, 0) if fewest is None or left < fewest else (fewest, stuck + 1)
-        now = now.drop("fresh").join(again, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).drop("again")
-    raise RuntimeError("surrogates still collide")
-
-
-#: Up to so many entities with a later attempt are sent to all tasks; more are joined to the texts that mention them.
-LATE_BOUND = 200_000
-#: Mentions of one entity are dealt over so many join keys.
-SALTS = 16
-
-
-def attach_attempts(docs: DataFrame, late: DataFrame, text: str) -> DataFrame:
-    """Adds __late, the later attempts (kind, canon, attempt) of the entities of each row's text, by a shuffled join."""
-    columns = docs.columns
-    at = columns.index(text)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial = TaskContext.get().partitionId(), 0
-        for b in small_batches(batches):
-            found = [[{"kind": k, "canon": c} for k, c in sorted({(kind, canonical(kind, t[i:j])) for kind, i, j in find(t)})] for t in b.column(at).to_pylist()]
-            rows = pa.array((task << 33) + i for i in range(serial, serial + len(found)))
-            serial += len(found)
-            yield pa.RecordBatch.from_arrays([*b.columns, rows.cast(pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string())])))], names=[*columns, "__row", "__found"])
+    def made(kind: pd.Series, mention: pd.Series) -> pd.Series:
+        return pd.Series([canonical(k, surrogate(key, k, m)) for k, m in zip(kind, mention, strict=True)], dtype=object)
 
-    wide = docs.select("*", F.lit(0).cast("bigint").alias("__row"), F.array().cast("array<struct<kind:string,canon:string>>").alias("__found"))
-    rows = materialize(docs.mapInArrow(number, wide.schema), "mentions")
-    asked = rows.select("__row", F.explode("__found").alias("e")).select("__row", "e.kind", "e.canon", F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"))
-    given = late.select("kind", "canon", "attempt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    got = asked.join(given, ["kind", "canon", "salt"]).groupBy("__row").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__late"))
-    return rows.drop("__found").join(got, "__row", "left").select(*columns, "__late")
+    fresh = entities(docs, text).withColumn("fresh", made("kind", "mention"))
+    return fresh.groupBy("kind", "fresh").agg(F.count("*").alias("n"), F.max(F.col("fresh") == F.col("canon")).alias("same")).where("n > 1 OR same").select("kind", "fresh", "n")
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", check: bool = True, extra: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, text: str = "text", key: bytes = b"vicinal", extra: bool = False) -> DataFrame:
     """Replaces every entity of every text by its surrogate; other columns and rows stay as they are.
 
-    One entity gets one surrogate in all texts, different entities of a kind
-    different ones, never a real one of the corpus: collisions() settles the
-    few that meet, and beyond LATE_BOUND their attempts come by a shuffled
-    join instead of a broadcast.  Null and empty texts stay.  With `extra`, columns n_entities and
-    kinds (the kinds found, in order, comma-separated) follow and replace
-    input columns of these names.
+    One entity gets one surrogate in all texts and different entities of a
+    kind different ones, by permutations alone: there is no table of
+    entities, so one pass does it at any size; collisions() audits it.  A
+    surrogate may equal another real entity, which is itself replaced
+    everywhere.  Persons are found by a title, a listed given name or a cue
+    such as "name is".
+
+    Null and empty texts stay, equal rows stay equal, an empty table gives an
+    empty one.  With `extra`, columns n_entities and kinds (the kinds found,
+    in order, comma-separated) follow and replace input columns of these
+    names.
     """
-    spark = docs.sparkSession
-    late: dict[tuple[str, str], int] = {}
-    many = None
-    if check:
-        moved = collisions(docs, key, text)
-        if moved.count() > LATE_BOUND:
-            many = moved
-        else:
-            late = {(r["kind"], r["canon"]): r["attempt"] for r in moved.collect()}
     more = ["n_entities", "kinds"] if extra else []
     keep = [c for c in docs.columns if c not in more]
     at = keep.index(text)
-    sent, many_late = spark.sparkContext.broadcast(late), many is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempts = sent.value
+        made: dict[tuple[str, str], str] = {}
         for b in small_batches(batches):
             out, count, kinds = [], [], []
-            own = b.column(len(keep)).to_pylist() if many_late else None
-            for row, t in enumerate(b.column(at).to_pylist()):
-                if own is not None:
-                    attempts = {(e["kind"], e["canon"]): e["attempt"] for e in own[row] or []}
+            for t in b.column(at).to_pylist():
                 found = find(t)
                 parts, last = [], 0
                 for kind, i, j in found:
-                    parts += [t[last:i], surrogate(key, kind, t[i:j], attempts.get((kind, canonical(kind, t[i:j])), 0))]
+                    own = (kind, t[i:j])
+                    if own not in made:
+                        if len(made) > 100_000:
+                            made.clear()
+                        made[own] = surrogate(key, *own)
+                    parts += [t[last:i], made[own]]
                     last = j
                 out.append("".join([*parts, t[last:]]) if found else t)
                 count.append(len(found))
                 kinds.append(",".join(k for k, _, _ in found))
-            cols = list(b.columns)[: len(keep)]
+            cols = list(b.columns)
             cols[at] = pa.array(out, pa.string())
             if extra:
                 cols += [pa.array(count, pa.int32()), pa.array(kinds, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *more])
 
     src = docs.select(*keep)
-    wide = src.select("*", F.lit(0).alias("n_entities"), F.lit("").alias("kinds")) if extra else src
-    if many is not None:
-        return attach_attempts(src, many, text).mapInArrow(run, wide.schema)
-    return src.mapInArrow(run, wide.schema)
-
+    wide_ = src.select("*", F.lit(0).alias("n_entities"), F.lit("").alias("kinds")) if extra else src
+    return src.mapInArrow(run, wide_.schema)
