@@ -20,7 +20,7 @@ LEVEL = 3
 
 @dataclass
 class CompressionModel:
-    """Dictionaries of bad and good text, and the calibration of the features."""
+    """Dictionaries of bad and good text, and the calibration of the difference."""
 
     dictionaries: tuple[bytes, bytes]
     mean: np.ndarray
@@ -42,15 +42,14 @@ def compressors(dictionaries: tuple[bytes, bytes]) -> list[zstandard.ZstdCompres
     return out
 
 
+FEATURES = 3
+
+
 def features(text: str | None, both: list[zstandard.ZstdCompressor]) -> list[float]:
-    """The normalised difference of the compressed sizes over the whole text, and its calibrating terms."""
+    """A bias, the normalised difference of the compressed sizes over the whole text, and the log length that it is judged at."""
     ps = pieces(text)
-    n = np.log(sum(map(len, ps)) + 1)
-    sizes = [[len(c.compress(p)) for p in ps] for c in both]
-    bad, good = map(sum, sizes)
-    each = [(x - y) / (x + y) for x, y in zip(*sizes, strict=True)]
-    d, r = (bad - good) / (bad + good), np.log(good / np.exp(n))
-    return [1.0, d, r, n, d * n, r * n, r * r, n * n, min(each), max(each), d * d]
+    bad, good = (sum(len(c.compress(p)) for p in ps) for c in both)
+    return [1.0, (bad - good) / (bad + good), float(np.log(sum(map(len, ps)) + 1))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, holdout: int = 5, per_class: int = 2000, longest: int = 50_000, total_chars: int = 24_000_000, seed: int = 3) -> CompressionModel:
@@ -58,18 +57,24 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int = 5, per_class: int = 2
 
     The sample: of each label the `per_class` documents first in a hash order,
     those with more than `longest` characters left out, `total_chars`
-    characters in all.  Half the bad and a quarter of the good texts make the
-    dictionaries; the rest calibrate the score by ridge logistic regression.
-    Without documents of both labels the model scores 0.5 throughout.
+    characters in all.  Half the texts of each label make the dictionaries;
+    the others calibrate the score by ridge logistic regression.  Without
+    documents of both labels the model scores 0.5 throughout.
+
+    Ids may be of any type.  Ids that are null, or that have both labels, are
+    left out; a label given twice counts once; of rows with one id the first
+    text in order counts.  Empty tables are as no labels.
     """
     spark = docs.sparkSession
-    own = labels.where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), holdout) != 0))
+    own = labels.where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), holdout) != 0) & F.col("quality").isin(0, 1))
+    own = own.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("__high")).where("quality = __high").select("doc_id", "quality")
     ids = []
     for label in (0, 1):
-        ids += own.where(F.col("quality") == label).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class).collect()
-    chosen = spark.createDataFrame(ids, "doc_id bigint, quality int")
-    texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    texts.sort(key=lambda r: (hash((r[0] * 2654435761) % 2**32), r[1]))
+        ids += own.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class).collect()
+    chosen = spark.createDataFrame(ids, own.schema)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id", F.lit(seed + 1)), "text", "quality").collect()
+    texts.sort(key=lambda r: (r[0], r[1]))
     by: tuple[list[str], list[str]] = ([], [])
     n = 0
     for r in texts:
@@ -79,9 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: int = 5, per_class: int = 2
         by[r[2]].append(r[1])
     bad, good = by
     if len(bad) < 8 or len(good) < 8:
-        return CompressionModel((b"", b""), np.zeros(11), np.ones(11), np.zeros(11))
-    train = (bad[::2], good[::4])
-    test = (bad[1::2], [t for i, t in enumerate(good) if i % 4])
+        return CompressionModel((b"", b""), np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES))
+    train, test = (bad[::2], good[::2]), (bad[1::2], good[1::2])
     made = []
     for ts in train:
         samples = [p for t in ts for p in pieces(t)]
@@ -106,7 +110,8 @@ def classify(docs: DataFrame, model: CompressionModel, text: str = "text", thres
     """Adds score (0 to 1, higher: good likelier) and predicted (score >= threshold) to every row.
 
     The whole text counts, cut in chunks of 512 bytes; a null text scores as
-    an empty one.  Existing columns named score or predicted are replaced.
+    an empty one; equal rows give equal rows; an empty table gives an empty
+    one.  Existing columns named score or predicted are replaced.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     at = keep.index(text)
