@@ -13,11 +13,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import materialize, small_batches
+from vicinal.llm.common import discard, materialize, small_batches
 
 #: A rule is (host/path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Words that mark a page as an example of unwanted hosts for training.
+#: Words whose pages are the first examples of unwanted ones; expectation maximization over all pages then sets the odds.
 SEED_WORDS = (
     "adult adserver ads betting bets casino clickbait crack dating escort gambling jackpot keygen loans lottery malware nude payday pharma phishing pills poker porn pornhub replica roulette sex slots spam torrent viagra warez xxx"
 ).split()
@@ -25,8 +25,12 @@ SEED_WORDS = (
 KNOWN_WORDS = (*SEED_WORDS, *"best buy cash cheap click deal farm fast free game games live online play shop track win".split())
 KNOWN_RATE = 20_000
 #: Token counts live in so many hash buckets.
-BITS = 18
-LONGEST = 20
+BITS = 20
+LONGEST = 32
+#: After the seed words' first labels, all pages are labelled by the model and counted again so many times.
+ROUNDS = 2
+#: Soft labels are counted in whole parts of so many, so that sums do not depend on their order.
+UNIT = 1024
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -66,6 +70,14 @@ class UrlModel:
     extra: dict[str, float] = field(default_factory=dict)
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
+    def plain(self) -> tuple:
+        """What executors get: arrays and numbers, no class of this package."""
+        return self.words, self.counts, self.total, self.odds, self.prior, self.extra
+
+    def score(self, tokens: list[str]) -> float:
+        """Log odds of an unwanted page."""
+        return self.prior + float(sum(self.odds[token_bucket(t)] for t in tokens))
+
     def log_p(self, word: str) -> float:
         h = word_hash(word)
         at = min(int(self.words.searchsorted(h)), len(self.words) - 1)
@@ -76,7 +88,7 @@ class UrlModel:
         return math.log(10.0 / self.total) - len(word) * math.log(10)  # unseen words: rarer with each letter
 
     def segment(self, run: str) -> tuple[str, ...]:
-        """The likeliest split of a run of letters into words of 20 letters at most (Viterbi)."""
+        """The likeliest split of a run of letters into words of 32 letters at most (Viterbi)."""
         if run not in self.memo:
             best, back = [0.0], [0]
             for j in range(1, len(run) + 1):
@@ -108,7 +120,7 @@ def word_hash(word: str) -> int:
 
 
 def url_parts(pages: DataFrame, url: str) -> DataFrame:
-    """Hashes of all strings of 20 letters at most inside the runs of letters of the urls: one column, h."""
+    """Hashes of all strings of 32 letters at most inside the runs of letters of the urls: one column, h."""
 
     def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -128,45 +140,64 @@ def url_parts(pages: DataFrame, url: str) -> DataFrame:
 def learn(pages: DataFrame, url: str = "url", html: str | None = "html") -> UrlModel:
     """Counts the words of all pages' html (and urls), then the url tokens of wanted and unwanted pages.
 
-    A page is an unwanted example if a word of its segmented url     word, and a wanted one otherwise.  Word counts are exact, and kept for
-    the words inside some url; token counts have 2**18 buckets, whatever the
-    number of pages.  Urls not among these pages may hold words left out.
+    There are no labels, so naive Bayes learns by expectation maximization:
+    pages whose segmented url has a seed word are the first unwanted
+    examples; then every page counts for both classes by its probability, as
+    the model of the round before gives it.  Word counts are exact, and kept
+    for the words inside some url; token counts have 2**20 buckets, whatever
+    the number of pages.  Urls not among these pages may hold words left out.
+    An empty table gives a model that knows the seed words only.
     """
     spark = pages.sparkSession
     text = F.concat_ws(" ", *[F.col(c) for c in (html, url) if c])
-    words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where("w <> '' AND length(w) <= 20")
+    words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(f"w <> '' AND length(w) <= {LONGEST}")
     counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).select(F.xxhash64("w").alias("h"), "n"), "words")
     total = counts.agg(F.sum("n")).first()[0]
-    got = counts.join(url_parts(pages, url), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n")).toPandas().sort_values("h")
-    model = UrlModel(got["h"].to_numpy(np.int64), got["n"].to_numpy(np.int64), float(total or 1))
+    got = counts.join(url_parts(pages, url), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    h, n = (got.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    model = UrlModel(h[order], n[order], float(total or 1))
+    discard(counts)
     model.extra = {w: model.total / KNOWN_RATE for w in KNOWN_WORDS}
     seeds = {f"{p}:{w}" for w in SEED_WORDS for p in "hp"}
+    c = F.col(url)
+    urls = pages.select(host_of(c).alias("host"), path_of(c).alias("path"))
+    for _ in range(1 + ROUNDS):
+        sent = spark.sparkContext.broadcast(model.plain())
+        n = count_tokens(urls, sent, seeds)
+        sent.destroy()
+        used = max(1, int((n[:, :-1].sum(0) > 0).sum()))
+        log_p = np.log(n[:, :-1] + 1) - np.log(n[:, :-1].sum(1, keepdims=True) + used)
+        model.odds = ((log_p[1] - log_p[0]) * (n[:, :-1].sum(0) > 0)).astype(np.float32)
+        model.prior = math.log((n[1, -1] + 1) / (n[0, -1] + 1))
+    return model
 
-    sent = spark.sparkContext.broadcast(model)
+
+def count_tokens(urls: DataFrame, sent, seeds: set[str]) -> np.ndarray:
+    """Counts (wanted, unwanted) of all token buckets, and last of pages, by the model's soft labels or, without odds, by seed words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = UrlModel(*sent.value)
         n = np.zeros((2, (1 << BITS) + 1), np.int64)  # the last place counts pages
         for b in small_batches(batches):
             for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 tokens = model.tokens(host, path)
-                bad = int(not seeds.isdisjoint(tokens))
-                n[bad, -1] += 1
-                for t in tokens:
-                    n[bad, token_bucket(t)] += 1
+                if model.odds is None:
+                    bad = UNIT * (not seeds.isdisjoint(tokens))
+                else:
+                    bad = round(UNIT / (1 + math.exp(-max(-30.0, min(30.0, model.score(tokens))))))
+                own = [token_bucket(t) for t in tokens] + [1 << BITS]
+                np.add.at(n[0], own, UNIT - bad)
+                np.add.at(n[1], own, bad)
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "good": pa.array(n[0, at]), "bad": pa.array(n[1, at])})
 
-    c = F.col(url)
-    sums = pages.select(host_of(c).alias("host"), path_of(c).alias("path")).mapInArrow(count, "bucket int, good bigint, bad bigint")
-    got = sums.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
+    sums = urls.mapInArrow(count, "bucket int, good bigint, bad bigint")
+    got = sums.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # 2**20 rows at most
     n = np.zeros((2, (1 << BITS) + 1))
-    n[:, got["bucket"]] = got[["good", "bad"]].to_numpy(float).T
-    used = max(1, int((n[:, :-1].sum(0) > 0).sum()))
-    log_p = np.log(n[:, :-1] + 1) - np.log(n[:, :-1].sum(1, keepdims=True) + used)
-    model.odds = (log_p[1] - log_p[0]) * (n[:, :-1].sum(0) > 0)
-    model.prior = math.log((n[1, -1] + 1) / (n[0, -1] + 1))
-    return model
+    for i, name in enumerate(("good", "bad")):
+        n[i, got.column("bucket").to_numpy()] = got.column(name).to_numpy() / UNIT
+    return n
 
 
 def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules=RULES) -> DataFrame:
@@ -175,7 +206,9 @@ def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules=RULES) -> D
     The verdict is the longest rule's; where none fits, block if the log odds
     of the url's tokens are above 0 and allow otherwise.  words are the
     host's segmented words.  A null url has an empty host and path and the
-    prior's score.  Existing columns of these names are replaced.
+    prior's score.  Urls of any length are judged whole; equal rows give
+    equal rows; an empty table gives an empty one.  Existing columns of these
+    names are replaced.
     """
     spark = pages.sparkSession
     added = ["host", "path", "rule", "verdict", "words", "score"]
@@ -185,15 +218,15 @@ def judge(pages: DataFrame, model: UrlModel, url: str = "url", rules=RULES) -> D
     name, action = match_rule(F.col("host"), F.col("path"), rules)
     src = src.withColumn("rule", name).withColumn("verdict", action)
     at = src.columns.index("host")
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = UrlModel(*sent.value)
         for b in small_batches(batches):
             verdict, words, scores = [], [], []
             for host, path, given in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), b.column(at + 3).to_pylist(), strict=True):
                 tokens = m.tokens(host, path)
-                score = m.prior + float(sum(m.odds[token_bucket(t)] for t in tokens))
+                score = m.score(tokens)
                 scores.append(score)
                 words.append(" ".join(t[2:] for t in tokens if t[0] == "h"))
                 verdict.append(given or ("block" if score > 0 else "allow"))
