@@ -46,9 +46,10 @@ def format_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 2
     closes where the next turn would pass the budget.  A leading system turn
     is kept at the front of every window; each later window then repeats up
     to `history_turns` turns before its span, of `history_tokens` tokens in
-    all.  Only assistant turns of the span itself are targets; repeated ones
-    are masked, so each target is learned once.  A turn that alone passes the
-    budget gets a window of its own, whole.
+    all and of what the budget leaves.  Only assistant turns of the span
+    itself are targets; repeated ones are masked, so each target is learned
+    once.  A turn that with the system turn passes the budget gets a window
+    of its own, whole and without history; only such windows pass it.
 
     Returns (conv_id, window, formatted, n_repeated, loss_spans, n_tokens):
     loss_spans are (start, end) in code points of `formatted`, n_repeated
@@ -56,8 +57,9 @@ def format_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 2
 
     Turns are ordered by turn, role, text, nulls first; null roles and texts
     are empty; equal rows are all kept; a null conv_id is one conversation;
-    other columns are ignored.  A conversation is one record, put together in
-    one task.
+    other columns are ignored; an empty table gives an empty one.  Texts of any
+    length stay whole.  A conversation is one record, put together in one
+    task.
     """
     base = turns.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
@@ -80,14 +82,15 @@ def format_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 2
                 struct(a.starts AS starts, a.base AS base, a.seen + 1 AS seen, t.cum AS last)),
               a -> a.starts)"""
     )
-    cut = parts.select("conv_id", "head", "body", once(starts, "starts"))
+    cut = parts.select("conv_id", "head", "head_n", "body", once(starts, "starts"))
     windows = F.expr(
         f"""transform(starts, (s, w) -> struct(
               w AS window,
               concat(
                 if(w > 0, head, slice(head, 1, 0)),
                 filter(slice(body, greatest(1, s - {history_turns}), least({history_turns}, s - 1)),
-                       t -> body[greatest(0, s - 2)].cum - t.cum + t.n <= {history_tokens})) AS old,
+                       t -> body[greatest(0, s - 2)].cum - t.cum + t.n <= least({history_tokens},
+                         {budget} - head_n - (body[coalesce(get(starts, w + 1), size(body) + 1) - 2].cum - body[greatest(0, s - 2)].cum)))) AS old,
               concat(
                 if(w = 0, head, slice(head, 1, 0)),
                 slice(body, s, coalesce(get(starts, w + 1), size(body) + 1) - s)) AS new))"""
