@@ -115,7 +115,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     similar window.
 
     Null, empty and wordless texts or items match nothing.  Equal rows give
-    one row.  Items with equal texts are all reported.  Other columns are ignored.
+    one row.  Items with equal texts are all reported.  An empty table of
+    either kind gives none.  Other columns are ignored.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("content")).where("text IS NOT NULL")
     items = materialize(item_table(benchmark, item_id, item_text, size), "items")
@@ -129,9 +130,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.expr(f"transform(filter(sequence(0L, {(1 << n) - 1}L), m -> bit_count(m) <= {radius // len(BLOCKS)}), m -> struct({i} AS i, {block('item_fp', i)} ^ m AS v))")
         for i, n in enumerate(BLOCKS)
     ])
-    index = items.select(F.col("fp").alias("item_fp"), F.col("len").alias("item_len")).distinct().select("item_fp", "item_len", F.inline_outer(F.flatten(near)))
+    index = items.select(F.col("fp").alias("item_fp"), "len").distinct().select("item_fp", "len", F.inline_outer(F.flatten(near)))
     close = (
-        probes.join(index.hint("shuffle_hash"), ["i", "v"]).where("len = item_len AND bit_count(fp ^ item_fp) <= " + str(radius))
+        probes.join(index.hint("shuffle_hash"), ["len", "i", "v"]).where("bit_count(fp ^ item_fp) <= " + str(radius))
         .select("fp", "len", "item_fp").distinct()
     )
     a, b, (num, den) = "shingles", "item_shingles", threshold
