@@ -27,20 +27,23 @@ def source_rates(docs: DataFrame, source: str = "source", alpha: float = 0.5, we
 
     The target share of a source is its weight in `weights`, or else its
     number of documents to the power alpha, over the sum of all; the rate
-    brings the expected size of the mix to `total` times the input.
+    brings the expected size of the mix to `total` times the input.  A source
+    without a weight has none; weights that fit no source leave nothing.
     """
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"))
     if weights is None:
         counts = counts.withColumn("w", F.pow(F.col("n_docs").cast("double"), F.lit(float(alpha))))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        counts = counts.withColumn("w", F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)))
+        given = F.create_map(*pairs)[F.col("source")] if pairs else F.lit(None).cast("double")
+        counts = counts.withColumn("w", F.coalesce(given, F.lit(0.0)))
     sums = counts.agg(F.sum("w").alias("all_w"), F.sum("n_docs").alias("all_n"))
     logs = F.array(*[F.lit(x) for x in LOG_FACTORIALS])
     lam = F.col("rate") / F.col("n_chunks")
     pmf = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.exp(k * F.ln(lam) - lam - F.element_at(logs, k + 1)))
     return (
         counts.crossJoin(F.broadcast(sums))  # one row
+        .where("all_w > 0")
         .withColumn("rate", F.round(F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(float(total)) / F.col("n_docs"), 9))
         .where("rate > 0")
         .withColumn("n_chunks", F.ceil(F.col("rate") / F.lit(CHUNK_MEAN)).cast("int"))
@@ -61,7 +64,8 @@ def poisson_mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
 
     Returns the input's columns, then copy_no (1..n_copies), n_copies, rate
     and shuffle_key.  A null source is a source of its own; null ids and
-    texts hash as empty; equal rows draw equal counts; input columns with
+    texts hash as empty; equal rows (same id and text) draw equal counts and
+    the same places in the order, so they lie side by side; input columns with
     the names of the added ones are dropped; an empty table gives an empty one.
     """
     spark = docs.sparkSession
