@@ -17,8 +17,10 @@ DF_BITS = 20
 DF_PART = 1 << 14
 #: Up to so many 16-byte keys a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
 BROADCAST_KEYS = 200_000
-#: Parts of a bucket, and texts of a part, are compared in blocks of about so many.
-BLOCK = 1024
+#: Buckets are split by further samples, in so many orders of them, until so many texts or fewer are left to pair.
+ORDERS, LEAF = 2, 16
+#: Pairs that agree in fewer of 24 samples are not verified: at a similarity of 0.8 one pair in 50,000.
+AGREE = 11
 U21 = np.uint64((1 << 21) - 1)
 
 
@@ -135,41 +137,41 @@ def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def prefix(shingles: tuple, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rarest shingles of a set, and the weight from each of them on; the first is the weight of the set.
+def parted_pairs(members: DataFrame, orders: int = ORDERS, leaf: int = LEAF, least: int = AGREE) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket, lie in different parts and agree in `least` samples: from (level, key, content, part, samples).
 
-    All sets order shingles alike.  Sets at or above the threshold share that
-    share of either weight, so the first shingle they share is among these.
+    A bucket of more than `leaf` texts is split by two more samples at a
+    time, in `orders` different orders of them, until its pieces are small;
+    inside a piece all pairs of different parts are made.  Pieces of one text
+    or one part are done.  Texts that agree in all samples are linked with
+    the smallest of them.  So each text meets a bounded number of others in
+    each piece, the likest ones, and no group is ever paired with itself.
     """
-    h, tf = shingles
-    w = idf[(h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)]
-    order = np.lexsort((h, -w))
-    left = np.cumsum((tf * w.astype(float))[order][::-1])[::-1]
-    n = int((left >= threshold * left[0] * (1 - 1e-9)).sum()) if len(h) else 0
-    return h[order[:n]], left[:n]
-
-
-def cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of texts that share a key but no part: from (key, content, part, weight, rest).
-
-    Parts of a key meet in blocks, and the texts of two parts in blocks
-    again, so pairs inside a part are never made and no task holds all of a
-    key.  `rest` bounds what a pair shares if this is the first key it
-    shares; where that is too little for the threshold the pair is left out.
-    """
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1")
-    sizes = materialize(sizes.join(mixed, "key"), "parts")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = sizes.select("key", "part", "n", blocks("parts").alias("of"), F.pmod(F.xxhash64("part"), blocks("parts")).cast("int").alias("at"))
-    left = own.select("key", F.col("part").alias("p"), blocks("n").alias("pn"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("of") - 1)).alias("j"))
-    right = own.select("key", F.col("part").alias("q"), blocks("n").alias("qn"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0), "at")).alias("i"))
-    two = left.join(right, ["key", "i", "j"]).where("i < j OR p < q")
-    two = two.select("key", "p", "q", "qn", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("s")).select("key", "p", "q", "s", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("t"))
-    texts = members.join(sizes.select("key", "part", "n"), ["key", "part"]).select("key", "part", "content", "weight", "rest", F.pmod(F.xxhash64("content"), blocks("n")).cast("int").alias("salt"))
-    two = two.join(texts.toDF("key", "p", "a", "wa", "ra", "s"), ["key", "p", "s"]).join(texts.toDF("key", "q", "b", "wb", "rb", "t"), ["key", "q", "t"])
-    two = two.where(F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) * (1 - 1e-9)))
-    return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    n = members.select(F.size("samples").alias("n")).first()
+    steps = (n["n"] if n else 0) // 2
+    order = F.expr(f"transform(sequence(0, {orders - 1}), o -> struct(o AS tree, array_sort(transform(samples, (x, i) -> struct(xxhash64(i, level, o) AS by, x AS x))).x AS rest))")
+    cur = members.select("level", "key", "content", "part", "samples", F.inline(order)).select(F.xxhash64("level", "key", "tree").alias("key"), "content", "part", "samples", "rest")
+    agree = "size(filter(zip_with(x.samples, y.samples, (p, q) -> p = q), t -> t))"
+    made: list[DataFrame] = []
+    for step in range(steps + 1):
+        sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("content").alias("hub")).where("low <> high")
+        now = materialize(cur.join(sizes.select("key", "n", "hub"), "key"), "pieces")
+        if step == steps:
+            made.append(now.where("content <> hub").select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")))
+            break
+        small = now.where(F.col("n") <= leaf).groupBy("key").agg(F.collect_list(F.struct("content", "part", "samples")).alias("l"))
+        pairs = F.expr(
+            f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {leaf}), y -> y.part <> x.part AND {agree} >= {least}), "
+            "y -> struct(least(x.content, y.content) AS a, greatest(x.content, y.content) AS b))))"
+        )
+        made.append(small.select(F.inline(pairs)))
+        cur = now.where(F.col("n") > leaf).select(F.xxhash64("key", F.col("rest")[2 * step], F.col("rest")[2 * step + 1]).alias("key"), "content", "part", "samples", "rest")
+        if cur.isEmpty():
+            break
+    out = made[0]
+    for d in made[1:]:
+        out = out.union(d)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 2, seed: int = 11) -> DataFrame:
@@ -180,10 +182,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     document frequency.  Each distinct text (by MD5) gets bands * rows
     samples.  Of every bucket, each text is first linked with the bucket's
     smallest key, and with the smallest one that agrees in the next band as
-    well.  Then texts whose bucket has texts they are not joined to are
-    compared with all texts that share one of their rarest shingles, which
-    are all that can reach the threshold.  Pairs with a weighted Jaccard similarity of `threshold` or more are
-    joined; class_id is the smallest doc_id of a class.
+    well.  Buckets that hold texts not joined by that are split by further
+    samples until all pairs of a piece can be compared.  Pairs with a
+    weighted Jaccard similarity of `threshold` or more are joined; class_id
+    is the smallest doc_id of a class.
 
     Null texts and texts without words form no class but that of equal texts:
     a null text stays alone (class_id is its own id).  A null id never names
@@ -199,11 +201,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf = WordHasher(), weights.value
         for b in small_batches(batches):
-            texts, keys = b.column(1).to_pylist(), []
+            texts, keys, drawn_all = b.column(1).to_pylist(), [], []
             for i, j in chunks_by_bytes(texts):
                 sets = shingle_sets(hasher, texts[i:j], size)
                 full = [k for k, (h, _) in enumerate(sets) if len(h)]
                 own: list = [None] * len(sets)
+                kept: list = [None] * len(sets)
                 if full:
                     h = np.concatenate([sets[k][0] for k in full])
                     w = np.concatenate([sets[k][1] for k in full]) * idf[(h & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)]
@@ -214,13 +217,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         band = mix64(band) ^ s[:, r::rows]
                     pair = mix64(band) ^ np.roll(band, -1, 1)
                     both = np.concatenate([band, pair], 1).view(np.int64)
-                    for k, row in zip(full, both, strict=True):
-                        own[k] = row
+                    for k, row, drawn in zip(full, both, s.astype(np.uint32).view(np.int32), strict=True):
+                        own[k], kept[k] = row, drawn
                 keys += own
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "content", "keys"])
+                drawn_all += kept
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn_all, pa.list_(pa.int32()))], names=["doc_id", "content", "keys", "samples"])
 
-    signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>"), "signatures")
-    texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"))
+    signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>, samples array<int>"), "signatures")
+    texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"), F.first("samples").alias("samples"))
     buckets = texts.select(F.unhex("content").alias("content"), F.posexplode("keys").alias("level", "key"))
     stars = buckets.groupBy("level", "key").agg(F.min("content").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
@@ -238,18 +242,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         good.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a_key[k] for k in good], pa.string()), "b": pa.array([b_key[k] for k in good], pa.string())})
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, idf = WordHasher(), weights.value
-        for b in small_batches(batches):
-            content, part, texts = (c.to_pylist() for c in b.columns)
-            for i, j in chunks_by_bytes(texts):
-                sets = [prefix(s, idf, threshold) for s in shingle_sets(hasher, texts[i:j], size)]
-                of = np.repeat(np.arange(i, j), [len(h) for h, _ in sets])
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)), "content": pa.array([content[k] for k in of], pa.binary()), "part": pa.array([part[k] for k in of], pa.binary()),
-                    "weight": pa.array(np.concatenate([r[:1].repeat(len(r)) for _, r in sets])), "rest": pa.array(np.concatenate([r for _, r in sets])),
-                })
-
     def verified(links: DataFrame) -> DataFrame:
         """The pairs (a, b) of binary keys whose texts reach the threshold, in hexadecimal."""
         needed = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
@@ -268,15 +260,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = roots.select(F.unhex("id").alias("content"), F.unhex("component").alias("component"))
     members = shared.where(F.col("level") < bands).join(parts, "content", "left").select("level", "key", "content", F.coalesce("component", "content").alias("part"))
     members = materialize(members, "members")
-    mixed = members.groupBy("level", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    apart = materialize(members.join(mixed, ["level", "key"], "left_semi").select("content", "part").distinct(), "apart")
-    wanted = apart.select(F.lower(F.hex("content")).alias("content"), "part")
-    if apart.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    bodies = src.select("content", "text").join(wanted, "content").select(F.unhex("content").alias("content"), "part", "text")
-    keys = bodies.mapInArrow(index, "key bigint, content binary, part binary, weight double, rest double").dropDuplicates(["key", "content"])
+    mixed = members.groupBy("level", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("level", "key")
+    drawn = texts.select(F.unhex("content").alias("content"), "samples")
+    apart = materialize(members.join(mixed, ["level", "key"], "left_semi").join(drawn, "content"), "apart")
     tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(cross_pairs(materialize(keys, "rarest"), threshold).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(parted_pairs(apart, least=round(AGREE * n_samples / 24)).join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verified(rest), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
