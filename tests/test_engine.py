@@ -34,12 +34,19 @@ def test_hash_combine(spark):
     assert h[0] == 899978539 and h[0] % 105613 == 50166
 
 
-def test_hash_combine_u64():
-    m = (1 << 64) - 1
-    x = (5 + hashing.GOLDEN_64 + 7) & m
-    for s, f in zip(hashing.SHIFTS_64, (hashing.MUL_64, hashing.MUL_64, 1), strict=True):
-        x = ((x ^ (x >> s)) * f) & m
-    assert int(hashing.combine_u64(np.array([5]), np.array([7]))[0]) == x
+def mix64_by_hand(seed, value):
+    m = 2**64 - 1
+    x = (seed + 0x9E3779B97F4A7C15 + value) & m
+    x = ((x ^ (x >> 32)) * 0x0E9846AF9B1A615D) & m
+    x = ((x ^ (x >> 32)) * 0x0E9846AF9B1A615D) & m
+    return x ^ (x >> 28)
+
+
+def test_hash_combine_u64(spark):
+    pairs = [(5, 7), (0, 0), (2**63 - 1, 1), (-1, -1), (12, -5)]
+    want = [mix64_by_hand(a % 2**64, b % 2**64) for a, b in pairs]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").coalesce(1)
+    assert [r[0] % 2**64 for r in df.select(hashing.hash_combine_u64(F.col("a"), F.col("b"))).collect()] == want
 
 
 def test_cut_ranks():
@@ -59,6 +66,16 @@ def test_cut_points_equal_a_sort(spark, family):
     assert {(r["fn"], r["cut_index"]): r["cut_value"] for r in rows} == {(f, i): want[k, f] for f in range(want.shape[1]) for i, k in enumerate(hashing.cut_ranks(57, o))}
 
 
+@pytest.mark.parametrize("draw", [lambda r, n: np.append(r.standard_normal(n - 1) * 1e-9, 1e9), lambda r, n: np.zeros(n), lambda r, n: np.repeat([1.0, 2.0], n // 2)])
+def test_cut_points_of_skewed_values(spark, draw):
+    o = LshOptions("entropy", 2, 1, 2, 100, 1.0, 7)
+    x = draw(np.random.default_rng(4), 4000).astype(np.float32)[:, None]
+    fns = hashing.draw_functions(o, 1)
+    rows = equi_depth_cuts(points(spark, [(i, v.tolist()) for i, v in enumerate(x)]), fns, len(x)).collect()
+    want = np.sort(hashing.cut_values(x.astype(float), fns), 0)
+    assert {(r["fn"], r["cut_index"]): r["cut_value"] for r in rows} == {(f, i): want[k, f] for f in range(want.shape[1]) for i, k in enumerate(hashing.cut_ranks(len(x), o))}
+
+
 def test_exact_line(spark):
     got = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in exact_knn(points(spark, LINE), 3).collect()}
     assert got[0, 1][0] == 1 and got[0, 3][0] == 3 and got[3, 1][0] == 2
@@ -188,3 +205,126 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.query_id, r.neighbor_id) for r in got] == [(100, 0)]
+
+
+def test_truth_of_another_shape_is_refused(spark):
+    p = generate.blobs(spark, 40, 3).select("id", "vec")
+    res = ApproxKNN(LshOptions("rp", 4, 2, 2, 1009, 2.0), 3).fit(p).kneighbors()
+    for bad in (exact_knn(p, 2), exact_knn(p, 3).where("query_id <> 7")):
+        for check in (res.recall, res.error_ratio):
+            with pytest.raises(Exception, match="the truth must have"):
+                check(bad).collect()
+    assert res.recall(exact_knn(p, 3)).first()["total"] == 120
+    with pytest.raises(InvalidOptionError):
+        res.of(40)
+
+
+def test_saved_results(spark, tmp_path):
+    p = generate.blobs(spark, 50, 3).select((F.col("id") * 7 + 3).alias("id"), "vec")
+    res = ApproxKNN(LshOptions("rp", 4, 2, 2, 1009, 2.0), 3).fit(p).kneighbors()
+    res.save_indices(str(tmp_path / "i"))
+    res.save_distances(str(tmp_path / "d"))
+    wide = {r.query_id: r for r in res.wide().collect()}
+    order = sorted(wide)
+    got = sources.read_knnbin(spark, str(tmp_path / "i"), "long").orderBy("id").collect()
+    assert [r.vec for r in got] == [wide[q].neighbors for q in order] and [r.id for r in got] == list(range(50))
+    assert [r.vec for r in sources.read_knnbin(spark, str(tmp_path / "d"), "double").orderBy("id").collect()] == [wide[q].distances for q in order]
+    with pytest.raises(VicinalError):
+        ApproxKNN(LshOptions(), 1).fit(p).kneighbors(return_distance=False).save_distances(str(tmp_path / "x"))
+
+
+def test_binary_writer_refuses_uneven_rows(spark, tmp_path):
+    with pytest.raises(Exception, match="different lengths"):
+        sources.write_knnbin(points(spark, [(0, [1.0]), (1, [1.0, 2.0])]), str(tmp_path / "u"))
+    assert not list(tmp_path.iterdir())
+    sources.write_knnbin(points(spark, []), str(tmp_path / "empty"))
+    assert sources.knnbin.header(str(tmp_path / "empty"), "float") == (0, 0)
+
+
+@pytest.mark.parametrize("kind", ["csv", "arff", "libsvm"])
+def test_text_round_trips_and_conversion(spark, tmp_path, kind):
+    p = points(spark, [(i, [float(i % 3), 0.1 * i, -2.5]) for i in range(60)]).repartition(4)
+    path = str(tmp_path / f"v.{kind}")
+    {"csv": sources.write_vector_csv, "arff": sources.write_arff, "libsvm": sources.write_libsvm}[kind](p, path)
+    want = [(r.id, r.vec) for r in p.orderBy("id").collect()]
+    read = {"csv": sources.read_vector_csv, "arff": sources.read_arff, "libsvm": sources.read_libsvm}[kind]
+    assert [(r.id, r.vec) for r in read(spark, path).orderBy("id").collect()] == want
+    sources.convert_to_knnbin(spark, path, str(tmp_path / "v.bin"))
+    assert [(r.id, r.vec) for r in sources.read_knnbin(spark, str(tmp_path / "v.bin")).orderBy("id").collect()] == want
+    with pytest.raises(FileFormatError):
+        sources.convert_to_knnbin(spark, "v.txt", "x")
+
+
+def test_blobs_are_normal_clouds(spark):
+    x = generate.blobs(spark, 3000, 2, std=0.5).toPandas()
+    v = np.array(x.vec.tolist()) - generate.centres(2)[x.cluster]
+    assert abs(v.mean()) < 0.03 and abs(v.std() - 0.5) < 0.02
+    again = generate.blobs(spark, 3000, 2, std=0.5).repartition(5).orderBy("id").toPandas()
+    assert again.vec.tolist() == x.sort_values("id").vec.tolist()
+
+
+def test_diagnostics_files(spark, tmp_path):
+    from vicinal.operators import diagnostics
+
+    p = generate.blobs(spark, 30, 2).select("id", "vec")
+    knn = ApproxKNN(LshOptions("rp", 4, 2, 3, 11, 2.0), 2).fit(p)
+    diagnostics.write_bucket_csv(knn, str(tmp_path / "b"))
+    diagnostics.write_candidate_csv(knn, str(tmp_path / "c"))
+    for name, width, total in (("b", 11, 30), ("c", 30, None)):
+        lines = (tmp_path / name).read_text().splitlines()
+        rows = [[int(v) for v in line.split(",")] for line in lines if not line.startswith("#")]
+        assert "# num_data_points: 30" in lines and [r[0] for r in rows] == [0, 1, 2] and all(len(r) == width + 1 for r in rows)
+        assert total is None or all(sum(r[1:]) == total for r in rows)
+    made = {(r.hash_table, r.query_id): r.candidates for r in knn.candidate_counts().collect()}
+    assert all(rows[t][1 + q] == made.get((t, q), 0) for t in range(3) for q in range(30))
+    sizes = {r.hash_table: r for r in diagnostics.mean_bucket_sizes(knn.index.bucket_counts()).collect()}
+    assert all(math.isclose(r.mean_size * r.used_buckets, 30) for r in sizes.values())
+    assert sum(r.queries for r in diagnostics.candidate_histogram(knn.candidate_counts()).collect()) == len(made)
+
+
+def test_tuner(spark, tmp_path):
+    from vicinal import tuning
+
+    assert tuning.primes(10, 30) == [11, 13, 17, 19, 23, 29]
+    rng, best = np.random.default_rng(1), lambda x: -((x - 0.3) ** 2).sum()
+    tried, scores = np.zeros((0, 3)), np.zeros(0)
+    for _ in range(60):
+        x = tuning.suggest(tried, scores, rng, 3)
+        tried, scores = np.concatenate([tried, x[None]]), np.append(scores, best(x))
+    assert scores[30:].mean() > scores[:8].mean() and scores.max() > -0.02
+    p = generate.blobs(spark, 40, 2).select("id", "vec").persist()
+    out = tuning.tune(p, exact_knn(p, 2).persist(), [LshOptions("rp", 4, 2, t, 101, 2.0) for t in (1, 2, 4)], 2, top=2).collect()
+    assert len(out) == 2 and out[0].recall >= out[1].recall and out[0].runtime > 0
+    space = tuning.Space("mixed", 1 << 20)
+    assert space.options(np.zeros(6)).num_cut_off_points == 256 and space.options(np.full(6, 0.999999)).hash_pool_size == 4096
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from vicinal import __main__ as cli
+
+    p = generate.blobs(spark, 40, 3).select("id", "vec")
+    path = lambda n: str(tmp_path / n)
+    sources.write_knnbin(p, path("v.bin"))
+    truth = exact_knn(p, 3)
+    from vicinal.operators.metrics import KnnResult
+
+    whole = KnnResult(truth, p.select("id"), 3, 40)
+    whole.save_indices(path("ti"))
+    whole.save_distances(path("td"))
+    args = [path("v.bin"), "3", "--hash_table_size", "1", "--num_hash_tables", "1", "--indices_save_file", path("i"), "--distances_save_file", path("d")]
+    args += ["--indices_ground_truth_file", path("ti"), "--distances_ground_truth_file", path("td"), "--profiling_type", "runtimes", "--profiling_file", path("p.yaml")]
+    assert cli.main(args) == 0
+    out = capsys.readouterr().out
+    assert "recall: 100.0000 % (120/120)" in out and "error ratio: 1.0" in out
+    assert (tmp_path / "i").read_bytes() == (tmp_path / "ti").read_bytes()
+    assert "indices_save_file" in (tmp_path / "p.yaml").read_text()
+    for bad in ([path("v.bin"), "0"], [path("v.bin"), "3", "--hash_function", "nonsense"], [path("v.bin"), "3", "--w", "0"]):
+        assert cli.main(bad) == 1 and "vicinal: " in capsys.readouterr().err
+
+
+def test_majority_vote(spark):
+    from vicinal.plans.classify import majority_vote
+
+    knn = spark.createDataFrame([(0, 1, 10, 1.0), (0, 2, 11, 2.0), (0, 3, 12, 3.0), (1, 1, 12, 1.0), (1, 2, 10, 1.0)], "query_id bigint, rank int, neighbor_id bigint, distance double")
+    labels = spark.createDataFrame([(10, 5), (11, 5), (12, 4)], "id bigint, label int")
+    assert {r.query_id: (r.label, r.votes) for r in majority_vote(knn, labels).collect()} == {0: (5, 2), 1: (4, 1)}

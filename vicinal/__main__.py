@@ -66,11 +66,12 @@ def main(argv: list[str] | None = None) -> int:
             with profiler.timed("nearest_neighbors", "total_runtime"):
                 result._full = result._full.persist()
                 result._full.count()
-        wide = result.wide()
-        if args.indices_save_file:
-            sources.write_knnbin(wide, args.indices_save_file, "long", "query_id", "neighbors")
-        if args.distances_save_file:
-            sources.write_knnbin(wide, args.distances_save_file, "double", "query_id", "distances")
+        profiler.add("data_set", "file", args.file)
+        for name, save in (("indices_save_file", result.save_indices), ("distances_save_file", result.save_distances)):
+            if path := getattr(args, name):
+                with profiler.timed(name, "total_runtime"):
+                    save(path)
+                profiler.add(name, "file", path)
         if args.indices_ground_truth_file:
             truth = as_truth(sources.read_knnbin(spark, args.indices_ground_truth_file, "long"), "neighbor_id")
             r = result.recall(truth).first()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def combine_u64(seed: np.ndarray, value: np.ndarray) -> np.ndarray:
     return x
 
 
+def hash_combine_u64(seed: Column, value: Column) -> Column:
+    """The 64-bit mixer on BIGINTs taken as unsigned; Spark's products may not wrap, so batches go through NumPy."""
+
+    @F.pandas_udf("bigint")
+    def mixed(s: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(combine_u64(s.to_numpy(np.int64).view(np.uint64), v.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return mixed(seed.cast("bigint"), value.cast("bigint"))
+
+
 @dataclass
 class HashFunctions:
     """A pool of functions and the choice of one for every (table, slot)."""

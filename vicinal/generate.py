@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,22 @@ def ramp(spark: SparkSession, n: int, dims: int) -> DataFrame:
     return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), at).alias("vec"))
 
 
+def centres(dims: int, clusters: int = 3, seed: int = 1) -> np.ndarray:
+    return np.random.default_rng(seed).uniform(-10, 10, (clusters, dims))
+
+
+def _uniform(*parts: object) -> Column:
+    """A number in (0, 1) from the first 52 bits of an MD5 of the parts."""
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2**52))
+
+
 def blobs(spark: SparkSession, n: int, dims: int, clusters: int = 3, std: float = 1.0, seed: int = 1) -> DataFrame:
-    """(id, vec, cluster): normal clouds around centres drawn from [-10, 10)."""
-    centres = np.random.default_rng(seed).uniform(-10, 10, (clusters, dims))
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    base = spark.range(n).withColumn("cluster", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(clusters)).cast("int"))
-    noise = F.array(*[F.randn(seed + 1 + j) for j in range(dims)])
+    """(id, vec, cluster): normal clouds around centres drawn from [-10, 10), the same however rows are partitioned."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres(dims, clusters, seed)])
+    base = spark.range(n).withColumn("cluster", F.pmod("id", F.lit(clusters)).cast("int"))
+    key = F.col("id").cast("string")
+    noise = F.array(*[F.sqrt(-2 * F.ln(_uniform(seed, key, j, "r"))) * F.cos(F.lit(6.283185307179586) * _uniform(seed, key, j, "a")) for j in range(dims)])  # Box and Muller
     vec = F.zip_with(table[F.col("cluster")], noise, lambda c, z: (c + z * std).cast("float"))
     return base.select("id", vec.alias("vec"), "cluster")
 

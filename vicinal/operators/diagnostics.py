@@ -33,31 +33,28 @@ def expected_pairs(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("pairs"))
 
 
-def _csv(path: str, header: str, rows) -> None:
+def _csv(path: str, header: str, cells: DataFrame) -> None:
+    """One line for each key of the (key, at, n) cells, in order; the driver holds one partition at a time."""
+    last = None
     with open(path, "w") as f:
         f.write(header)
-        for key, values in rows:
-            f.write(f"{key},{','.join(map(str, values))}\n")
+        for r in cells.orderBy("key", "at").toLocalIterator():
+            f.write(f",{r['n']}" if r["key"] == last else f"{'' if last is None else chr(10)}{r['key']},{r['n']}")
+            last = r["key"]
+        f.write("\n")
 
 
 def write_bucket_csv(knn: ApproxKNN, path: str) -> None:
-    """One line for each table with the sizes of all its buckets, after `# name: value` lines.
-
-    A debugging aid of tables times table size numbers, written by the driver.
-    """
-    size, o = knn.index.options.buckets, knn.index.options
-    dense = {t: [0] * size for t in range(o.num_hash_tables)}
-    for r in knn.index.bucket_counts().toLocalIterator():
-        dense[r["hash_table"]][r["bucket"]] = r["n"]
-    _csv(path, o.describe("# ") + f"# num_data_points: {knn.index.total_size}\n", dense.items())
+    """One line for each table with the sizes of all its buckets, after `# name: value` lines."""
+    spark, size, o = knn.index.points.sparkSession, knn.index.options.buckets, knn.index.options
+    every = spark.range(o.num_hash_tables * size).select((F.col("id") / size).cast("int").alias("hash_table"), (F.col("id") % size).alias("bucket"))
+    cells = every.join(knn.index.bucket_counts(), ["hash_table", "bucket"], "left").select(F.col("hash_table").alias("key"), F.col("bucket").alias("at"), F.coalesce("n", F.lit(0)).alias("n"))
+    _csv(path, o.describe("# ") + f"# num_data_points: {knn.index.total_size}\n", cells)
 
 
 def write_candidate_csv(knn: ApproxKNN, path: str) -> None:
     """One line for each table with the candidates of every point, by ascending id."""
     o = knn.index.options
-    ids = [r[0] for r in knn.index.points.select("id").orderBy("id").toLocalIterator()]
-    at = {x: i for i, x in enumerate(ids)}
-    dense = {t: [0] * len(ids) for t in range(o.num_hash_tables)}
-    for r in knn.candidate_counts().toLocalIterator():
-        dense[r["hash_table"]][at[r["query_id"]]] = r["candidates"]
-    _csv(path, o.describe("# ") + f"# num_data_points: {len(ids)}\n", dense.items())
+    every = knn.index.points.select(F.explode(F.sequence(F.lit(0), F.lit(o.num_hash_tables - 1))).alias("hash_table"), F.col("id").alias("query_id"))
+    cells = every.join(knn.candidate_counts(), ["hash_table", "query_id"], "left").select(F.col("hash_table").alias("key"), F.col("query_id").alias("at"), F.coalesce("candidates", F.lit(0)).alias("n"))
+    _csv(path, o.describe("# ") + f"# num_data_points: {knn.index.total_size}\n", cells)

@@ -18,42 +18,51 @@ from vicinal.operators.metrics import KnnResult
 from vicinal.options import HashFamily, LshOptions
 from vicinal.profiling import Profiler
 
-#: Bins of the first pass over the values that cut-off points divide.
-CUT_BINS = 4096
+#: Bins of about equally many values, in the first pass over what cut-off points divide; their edges are quantiles of this accuracy.
+CUT_BINS, ACCURACY = 1024, 10_240
 
 
-def values_of(points: DataFrame, fns: HashFunctions) -> DataFrame:
-    """(fn, value) of all points: what the cut-off points of function or table fn divide."""
+def values_of(points: DataFrame, fns: HashFunctions, edges: np.ndarray | None = None) -> DataFrame:
+    """(fn, value, bin) of all points: what the cut-off points of function or table fn divide, and between which edges it lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 v = cut_values(to_matrix(b.column(0)).astype(float), fns)
-                yield pa.RecordBatch.from_pydict({"fn": pa.array(np.tile(np.arange(v.shape[1], dtype=np.int32), len(v))), "value": pa.array(v.reshape(-1))})
+                bins = np.zeros(v.shape, np.int32)
+                if edges is not None:
+                    for f in range(v.shape[1]):
+                        bins[:, f] = np.searchsorted(edges[f], v[:, f])
+                yield pa.RecordBatch.from_pydict({"fn": pa.array(np.tile(np.arange(v.shape[1], dtype=np.int32), len(v))), "value": pa.array(v.reshape(-1)), "bin": pa.array(bins.reshape(-1))})
 
-    return points.select("vec").mapInArrow(run, "fn int, value double")
+    return points.select("vec").mapInArrow(run, "fn int, value double, bin int")
 
 
 def equi_depth_cuts(points: DataFrame, fns: HashFunctions, n: int) -> DataFrame:
     """Exact cut-off points (fn, cut_index, cut_value) without a global sort.
 
-    A histogram of 4096 bins for each function finds the bin of every wanted
-    rank; only the bins' own values, counted by value, are then ranked.
+    Approximate quantiles cut the values of each function into bins of about
+    equally many, whatever their distribution; exact counts find the bin of
+    every wanted rank, and only those bins' own values, counted by value, are
+    ranked.  A value that many points share is one row.
     """
     spark = points.sparkSession
-    values = values_of(points, fns).persist()
-    span = values.groupBy("fn").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row for each function
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(CUT_BINS - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CUT_BINS))).otherwise(F.lit(0))
-    binned = values.join(F.broadcast(span), "fn").select("fn", "value", place.cast("int").alias("bin"))
+    quantiles = F.percentile_approx("value", [i / CUT_BINS for i in range(1, CUT_BINS)], ACCURACY)
+    rows = values_of(points, fns).groupBy("fn").agg(quantiles.alias("edges")).collect()  # one row for each function
+    edges = np.array([r["edges"] for r in sorted(rows, key=lambda r: r["fn"])])
+    binned = values_of(points, fns, edges).persist()
     counts = binned.groupBy("fn", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("fn").orderBy("bin"))  # 4096 rows for each function at most
-    edges = counts.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
+    upto = F.sum("n").over(Window.partitionBy("fn").orderBy("bin"))  # CUT_BINS rows for each function at most
+    placed = counts.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
     ranks = spark.createDataFrame([(i, r) for i, r in enumerate(cut_ranks(n, fns.options))], "cut_index int, rank_at bigint")
-    wanted = edges.join(F.broadcast(ranks), (F.col("begin") <= F.col("rank_at")) & (F.col("rank_at") < F.col("end"))).select("fn", "bin", "cut_index", (F.col("rank_at") - F.col("begin")).alias("inside"))
+    wanted = placed.join(F.broadcast(ranks), (F.col("begin") <= F.col("rank_at")) & (F.col("rank_at") < F.col("end"))).select("fn", "bin", "cut_index", (F.col("rank_at") - F.col("begin")).alias("inside"))
     held = binned.join(F.broadcast(wanted.select("fn", "bin").distinct()), ["fn", "bin"]).groupBy("fn", "bin", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("fn", "bin").orderBy("value"))
     held = held.withColumn("end", upto).withColumn("begin", F.col("end") - F.col("n"))
-    return held.join(F.broadcast(wanted), ["fn", "bin"]).where("begin <= inside AND inside < end").select("fn", "cut_index", F.col("value").alias("cut_value"))
+    cuts = held.join(F.broadcast(wanted), ["fn", "bin"]).where("begin <= inside AND inside < end").select("fn", "cut_index", F.col("value").alias("cut_value"))
+    found = [tuple(r) for r in cuts.collect()]  # functions times cut-off points
+    binned.unpersist()
+    return spark.createDataFrame(found, "fn int, cut_index int, cut_value double")
 
 
 @dataclass
@@ -159,6 +168,12 @@ class ApproxKNN:
         self.profiler.add("fit", "dims", dims)
         return self
 
+    def release(self) -> None:
+        """Gives the fitted points' memory back; the estimator must be fitted again before a search."""
+        if self.index is not None:
+            self.index.points.unpersist()
+            self.index = None
+
     def kneighbors(self, queries: DataFrame | None = None, k: int | None = None, return_distance: bool = True, exclude_same_id: bool | None = None) -> KnnResult:
         """Neighbours of the fitted points, or of other points.
 

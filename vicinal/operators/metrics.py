@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.errors import VicinalError
+from vicinal.errors import InvalidOptionError, VicinalError
 from vicinal.profiling import Profiler
 
 #: Distance of a slot without a neighbour: the largest float.
@@ -24,7 +24,9 @@ class KnnResult:
         return self._full if self.has_distances else self._full.drop("distance")
 
     def of(self, query_id: int) -> DataFrame:
-        """One query's neighbours in order."""
+        """One query's neighbours in order; the id must be one of the queries'."""
+        if self.ids.where(F.col("id") == query_id).isEmpty():
+            raise InvalidOptionError(f"{query_id} is no query's id")
         return self.table.where(F.col("query_id") == query_id).orderBy("rank")
 
     def padded(self) -> DataFrame:
@@ -41,6 +43,20 @@ class KnnResult:
         out = rows.select("query_id", F.col("r.neighbor_id").alias("neighbors"), *([F.col("r.distance").alias("distances")] if self.has_distances else []))
         return out
 
+    def save_indices(self, path: str) -> None:
+        """Writes the neighbours' ids, k for each query in the order of their ids, as a binary matrix of 64-bit integers."""
+        from vicinal.sources import write_knnbin
+
+        write_knnbin(self.wide(), path, "long", "query_id", "neighbors")
+
+    def save_distances(self, path: str) -> None:
+        """Writes the distances likewise, as a binary matrix of doubles."""
+        from vicinal.sources import write_knnbin
+
+        if not self.has_distances:
+            raise VicinalError("the search was made without distances")
+        write_knnbin(self.wide(), path, "double", "query_id", "distances")
+
     def recall(self, truth: DataFrame) -> DataFrame:
         """One row (recall in percent, correct, total); the total is queries times k."""
         return recall(self._full, truth, self.n_queries, self.k)
@@ -53,10 +69,15 @@ class KnnResult:
 
 
 def recall(found: DataFrame, truth: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """Share of the slots whose neighbour is among the query's true ones."""
-    hits = found.join(truth.select("query_id", "neighbor_id"), ["query_id", "neighbor_id"], "left_semi")
+    """Share of the slots whose neighbour is among the query's true ones.
+
+    The truth must hold k neighbours of every query, or the query fails.
+    """
+    both = truth.select("query_id", "neighbor_id").join(found.select("query_id", "neighbor_id", F.lit(1).alias("hit")), ["query_id", "neighbor_id"], "left")
     total = n_queries * k
-    return hits.agg(F.count("*").alias("correct")).select((F.col("correct") * 100.0 / total).alias("recall"), "correct", F.lit(total).cast("bigint").alias("total"))
+    fits = F.when(F.col("given") != total, F.raise_error(F.lit(f"the truth must have {total} rows: {k} for each of {n_queries} queries")))
+    counts = both.agg(F.count("*").alias("given"), F.count("hit").alias("correct"))
+    return counts.select(F.coalesce(fits.cast("double"), F.col("correct") * 100.0 / total).alias("recall"), "correct", F.lit(total).cast("bigint").alias("total"))
 
 
 def error_ratio(found: DataFrame, truth: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -64,15 +85,18 @@ def error_ratio(found: DataFrame, truth: DataFrame, ids: DataFrame, k: int) -> D
 
     A slot with a true distance of 0 counts as 1 if the found one is 0 too and
     not at all otherwise; queries with fewer than k neighbours are counted
-    and left out.  Without any usable query the ratio is null.
+    and left out.  Without any usable query the ratio is null.  The truth must
+    hold k neighbours of every query, or the query fails.
     """
     order = Window.partitionBy("query_id").orderBy("distance")
     ranked = lambda df, name: df.select("query_id", F.row_number().over(order).alias("slot"), F.col("distance").alias(name))
     counts = ids.select(F.col("id").alias("query_id")).join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
     ratio = F.when(F.col("t") != 0, F.col("f") / F.col("t")).when(F.col("f") == 0, F.lit(1.0))
-    each = ranked(found, "f").join(ranked(truth, "t"), ["query_id", "slot"]).groupBy("query_id").agg(F.avg(ratio).alias("ratio"))
+    each = ranked(truth, "t").join(ranked(found, "f"), ["query_id", "slot"], "left").groupBy("query_id").agg(F.avg(ratio).alias("ratio"), F.count("*").alias("given"))
+    unlike = F.max(F.coalesce(F.col("given"), F.lit(0)) != k)
+    fits = F.when(unlike, F.raise_error(F.lit(f"the truth must have {k} rows for each query")))
     return counts.join(each, "query_id", "left").agg(
-        F.avg(F.when(F.col("n") >= k, F.col("ratio"))).alias("error_ratio"),
+        F.coalesce(fits.cast("double"), F.avg(F.when(F.col("n") >= k, F.col("ratio")))).alias("error_ratio"),
         F.coalesce(F.sum((F.col("n") < k).cast("bigint")), F.lit(0)).alias("points_incomplete"),
         F.coalesce(F.sum(F.greatest(F.lit(k) - F.col("n"), F.lit(0))), F.lit(0)).cast("bigint").alias("neighbors_missing"),
     )

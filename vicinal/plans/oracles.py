@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vicinal.functions import hashing
 from vicinal.functions.hashing import GOLDEN_32, MUL_32, SHIFTS_32, draw_functions
 from vicinal.options import HashFamily, LshOptions
 
@@ -90,3 +91,23 @@ ALL_PAIRS = "SELECT x.id AS q, y.id AS c FROM pts x, pts y WHERE x.id <> y.id"
 def first_pairs() -> str:
     """CTE fp (hash_table, query_id, c): the first table in which a pair meets."""
     return "fp AS (SELECT min(x.hash_table) AS hash_table, x.id AS query_id, y.id AS c FROM bk x JOIN bk y USING (hash_table, bucket) WHERE x.id <> y.id GROUP BY x.id, y.id)"
+
+
+def combine_u64(table: str, seed: str, value: str) -> str:
+    """The 64-bit mixer in HUGEINT arithmetic modulo 2**64, read as signed."""
+    m = "18446744073709551616::HUGEINT"
+    wrap = lambda x: f"(({x}) % {m})"
+    out = f"SELECT {seed}, {value}, {wrap(f'{seed}::HUGEINT + {hashing.GOLDEN_64}::HUGEINT + {value}::HUGEINT')} AS x0 FROM {table}"
+    for i, (shift, factor) in enumerate(zip(hashing.SHIFTS_64, (hashing.MUL_64, hashing.MUL_64, 1), strict=True)):
+        out = f"SELECT {seed}, {value}, {wrap(f'xor(x{i}, x{i} // {1 << shift}) * {factor}::HUGEINT')} AS x{i + 1} FROM ({out})"
+    return f"SELECT {seed}, {value}, (CASE WHEN x3 >= 9223372036854775808::HUGEINT THEN x3 - {m} ELSE x3 END)::BIGINT AS mixed FROM ({out})"
+
+
+def blobs(centres: list[list[float]], n: int, seed: int = 1) -> str:
+    """Coordinates of the generated clouds (id, cluster, dim, x)."""
+    u = lambda tag: f"((('0x' || substr(md5('{seed}|' || id || '|' || dim || '|{tag}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    table = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in c) + "]" for c in centres) + "]"
+    return (
+        f"SELECT id, cluster::INT AS cluster, dim::INT AS dim, round((({table}[cluster + 1])[dim + 1] + sqrt(-2 * ln({u('r')})) * cos(6.283185307179586::DOUBLE * {u('a')}))::FLOAT::DOUBLE, 3) AS x "
+        f"FROM (SELECT i AS id, i % {len(centres)} AS cluster, d AS dim FROM range(0, {n}) t(i), range(0, {len(centres[0])}) s(d))"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal import generate, tuning
-from vicinal.functions.hashing import draw_functions, hash_combine_u32
+from vicinal.functions.hashing import draw_functions, hash_combine_u32, hash_combine_u64
 from vicinal.functions.vectors import as_points, attributes
 from vicinal.operators import diagnostics
 from vicinal.operators.index import ApproxKNN, equi_depth_cuts
@@ -19,7 +19,7 @@ from vicinal.operators.search import exact_knn as exact
 from vicinal.options import LshOptions
 from vicinal.plans import oracles as sql
 from vicinal.plans.classify import majority_vote
-from vicinal.sources import read_knnbin, write_knnbin
+from vicinal.sources import read_knnbin, text, write_knnbin
 
 K = 10
 RP = LshOptions("random_projections", 32, 3, 4, 105_613, 1.0, seed=42)
@@ -150,15 +150,71 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.tune(p, truth, trials, K)
 
 
+def shared_path(spark: SparkSession, suffix: str) -> str:
+    """A new path in the shared folder; where spark.checkpoint.dir is unset, as in tests, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}{suffix}"
+
+
+def mounted_path(spark: SparkSession, suffix: str) -> str:
+    """Such a path for the binary format, whose files all nodes open in a file system that they mount."""
+    path = shared_path(spark, suffix).removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
 def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points, written in the binary format and read again."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/{uuid.uuid4().hex}.bin"
+    path = mounted_path(spark, ".bin")
     write_knnbin(points(spark, sf_dir), path)
     return read_knnbin(spark, path)
 
 
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, ".csv")
+    text.write_vector_csv(points(spark, sf_dir), path)
+    return text.read_vector_csv(spark, path)
+
+
+def arff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, ".arff")
+    text.write_arff(points(spark, sf_dir), path)
+    return text.read_arff(spark, path)
+
+
+def libsvm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, ".libsvm")
+    text.write_libsvm(points(spark, sf_dir), path)
+    return text.read_libsvm(spark, path)
+
+
+def ground_truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours' ids, saved as a binary matrix and read again."""
+    p, path = points(spark, sf_dir), mounted_path(spark, ".truth")
+    KnnResult(exact(p, K), p.select("id"), K, p.count()).save_indices(path)
+    return read_knnbin(spark, path, "long").select(F.col("id").alias("query_id"), F.posexplode("vec").alias("rank", "neighbor_id")).withColumn("rank", F.col("rank") + 1)
+
+
+def knn_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each query, its padded neighbours joined in order."""
+    return fitted(spark, sf_dir, RP).kneighbors().wide().select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
+
+
+def mean_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = diagnostics.mean_bucket_sizes(fitted(spark, sf_dir, RP).index.bucket_counts())
+    return out.withColumn("mean_size", F.round("mean_size", 6))
+
+
+def hash_combine_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select("o_orderkey", "o_custkey", hash_combine_u64(F.col("o_orderkey"), F.col("o_custkey")).alias("mixed"))
+
+
+def gaussian_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated clouds, coordinate by coordinate."""
+    return generate.blobs(spark, 1000, 3).select("id", "cluster", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round(F.col("x").cast("double"), 3))
+
+
 def knn_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label")
     return majority_vote(exact_knn(spark, sf_dir), labels)
@@ -174,6 +230,8 @@ QUERIES = {
     "foreign_query_knn": foreign_query_knn, "knn_padded": knn_padded,
     "candidate_counts": candidate_counts, "candidate_totals": candidate_totals, "recall": recall, "error_ratio": error_ratio,
     "minmax_scaled_vectors": minmax_scaled_vectors, "debug_ramp": debug_ramp, "lineitem_knn": lineitem_knn,
+    "csv_roundtrip": csv_roundtrip, "arff_roundtrip": arff_roundtrip, "libsvm_roundtrip": libsvm_roundtrip, "ground_truth_files": ground_truth_files,
+    "knn_wide": knn_wide, "mean_bucket_sizes": mean_bucket_sizes, "hash_combine_u64": hash_combine_64, "gaussian_blobs": gaussian_blobs,
     "tune_grid": tune_grid, "binary_roundtrip": binary_roundtrip, "knn_majority_vote": knn_majority_vote,
 }
 
@@ -241,7 +299,12 @@ def _oracles() -> dict[str, str]:
         "minmax_scaled_vectors": _with(scaled(sql.POINTS)) + "SELECT id, vec FROM sc",
         "debug_ramp": "SELECT i AS id, list_transform(range(0, 8), lambda j: ((i * 8 + j) % 1000)::FLOAT) AS vec FROM range(0, 1000) t(i)",
         "lineitem_knn": _with(scaled(lines), line_bk, sql.neighbours(K, line_pairs)) + columns + "knn",
-        "binary_roundtrip": sql.POINTS,
+        "binary_roundtrip": sql.POINTS, "csv_roundtrip": sql.POINTS, "arff_roundtrip": sql.POINTS, "libsvm_roundtrip": sql.POINTS,
+        "ground_truth_files": _with(pts, exact_cte) + "SELECT query_id, rank, neighbor_id FROM truth",
+        "knn_wide": _with(rp, knn, padded.partition(" SELECT ")[0]) + "SELECT query_id, string_agg(coalesce(neighbor_id, query_id)::VARCHAR, ',' ORDER BY rank) AS neighbors FROM sl2 LEFT JOIN knn USING (query_id, rank) GROUP BY query_id",
+        "mean_bucket_sizes": _with(rp, counts) + "SELECT hash_table, count(*) AS used_buckets, round(avg(n), 6) AS mean_size, max(n) AS largest FROM cn GROUP BY hash_table",
+        "hash_combine_u64": sql.combine_u64("orders", "o_orderkey", "o_custkey"),
+        "gaussian_blobs": sql.blobs(generate.centres(3).tolist(), 1000),
         "knn_majority_vote": _with(pts, exact_cte) + "SELECT query_id, label, votes FROM (SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS place FROM truth JOIN embeddings ON vec_id = neighbor_id WHERE label IS NOT NULL GROUP BY query_id, label) WHERE place = 1",
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +11,10 @@ from datetime import UTC, datetime
 from vicinal.options import Profiling
 
 
+#: Progress of fits and searches; set its level to INFO to see it.
+LOG = logging.getLogger("vicinal")
+
+
 class Profiler:
     """Two-level entries group -> name -> value; without profiling, dump() writes nothing."""
 
@@ -30,7 +35,9 @@ class Profiler:
         self.event(f"{group}_start")
         began = time.perf_counter()
         yield
-        self.add(group, name, f"{(time.perf_counter() - began) * 1000:.0f}ms")
+        took = f"{(time.perf_counter() - began) * 1000:.0f}ms"
+        self.add(group, name, took)
+        LOG.info("%s: %s %s", group, name, took)
         self.event(f"{group}_end")
 
     def clear(self) -> None:

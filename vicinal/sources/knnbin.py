@@ -14,8 +14,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -72,53 +73,57 @@ class KnnBinReader(DataSourceReader):
 
 
 class Part(WriterCommitMessage):
-    def __init__(self, name: str, low: int, high: int, rows: int, cols: int):
-        self.name, self.low, self.high, self.rows, self.cols = name, low, high, rows, cols
+    def __init__(self, rows: int, cols: int):
+        self.rows, self.cols = rows, cols
 
 
 class KnnBinWriter(DataSourceArrowWriter):
-    """Tasks write their rows beside the target; the commit puts a header before them, in the order of ids.
+    """Tasks write each row at its place in a file beside the target; the commit adds the header and renames it.
 
-    Needs partitions that cover ascending, disjoint ranges of ids.
+    The id of a row is its place, 0 to rows - 1.  A task that runs twice
+    writes the same bytes twice.
     """
 
     def __init__(self, path: str, element: str, overwrite: bool):
-        self.path, self.element, self.token = path, element, uuid.uuid4().hex
+        self.path, self.element = path, element
+        self.whole = f"{path}.{uuid.uuid4().hex}.part"
         if os.path.exists(path) and not overwrite:
             raise FileFormatError(f"{path} exists")
 
     def write(self, iterator) -> Part:
-        name, low, high, rows, cols = f"{self.path}.{self.token}.{uuid.uuid4().hex}", 0, -1, 0, 0
-        with open(name, "wb") as f:
+        rows, cols, f = 0, 0, os.open(self.whole, os.O_RDWR | os.O_CREAT, 0o644)
+        try:
             for b in iterator:
                 if b.num_rows:
-                    ids = b.column(0).to_numpy()
-                    low = int(ids[0]) if not rows else low
-                    lengths = {len(v) for v in b.column(1)}
+                    lengths = set(pc.list_value_length(b.column(1)).to_pylist())
                     if len(lengths) != 1 or (rows and lengths != {cols}):
                         raise FileFormatError("rows of different lengths")
-                    cols, high, rows = lengths.pop(), int(ids[-1]), rows + b.num_rows
-                    f.write(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(ELEMENTS[self.element]).tobytes())
-        return Part(name, low, high, rows, cols)
+                    cols, rows = lengths.pop(), rows + b.num_rows
+                    at = b.column(0).to_numpy()
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(ELEMENTS[self.element]).reshape(len(at), -1)
+                    runs = [0, *(np.flatnonzero(np.diff(at) != 1) + 1), len(at)]
+                    for i, j in zip(runs[:-1], runs[1:], strict=True):
+                        data, place = memoryview(x[i:j].tobytes()), HEADER_BYTES + int(at[i]) * x[i : i + 1].nbytes
+                        while data:
+                            n = os.pwrite(f, data, place)
+                            data, place = data[n:], place + n
+        finally:
+            os.close(f)
+        return Part(rows, cols)
 
     def commit(self, messages: list[Part | None]) -> None:
-        parts = sorted((m for m in messages if m and m.rows), key=lambda m: m.low)
+        parts = [m for m in messages if m and m.rows]
         if len({m.cols for m in parts}) > 1:
+            self.abort(messages)
             raise FileFormatError("rows of different lengths")
-        whole = f"{self.path}.{self.token}.whole"
-        with open(whole, "wb") as out:
-            out.write(struct.pack(HEADER, ELEMENTS[self.element].itemsize, sum(m.rows for m in parts), parts[0].cols if parts else 0))
-            for m in parts:
-                with open(m.name, "rb") as f:
-                    while block := f.read(16 << 20):
-                        out.write(block)
-        os.replace(whole, self.path)
-        self.abort(messages)
+        f = os.open(self.whole, os.O_RDWR | os.O_CREAT, 0o644)
+        os.pwrite(f, struct.pack(HEADER, ELEMENTS[self.element].itemsize, sum(m.rows for m in parts), parts[0].cols if parts else 0), 0)
+        os.close(f)
+        os.replace(self.whole, self.path)
 
     def abort(self, messages: list[Part | None]) -> None:
-        for m in messages:
-            if m and os.path.exists(m.name):
-                os.remove(m.name)
+        if os.path.exists(self.whole):
+            os.remove(self.whole)
 
 
 class KnnBinDataSource(DataSource):
@@ -155,9 +160,21 @@ def read_knnbin(spark: SparkSession, path: str, element: str = "float") -> DataF
     return spark.read.format("knnbin").option("element", element).load(path)
 
 
+def in_order(df: DataFrame, key: str, parts: int = 256) -> DataFrame:
+    """Adds `place`, 0 to rows - 1 in the order of the key, without a global sort: ranges by quantiles, counts of the ranges, places inside them."""
+    edges = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / parts) or []))
+    spark = df.sparkSession
+    at = spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "i int, e double").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    ranged = df.join(F.broadcast(at)).withColumn("range", F.size(F.filter("e", lambda x: x < F.col(key)))).drop("e")  # one row
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # as many rows as ranges
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("inside")).drop("inside", "before", "range")
+
+
 def write_knnbin(df: DataFrame, path: str, element: str = "float", id_col: str = "id", vec_col: str = "vec") -> None:
     """Writes vectors in the order of their ids, replacing the file."""
     register(df.sparkSession)
     cast = "bigint" if element == "long" else element
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{cast}>").alias("vec"))
-    rows.repartitionByRange("id").sortWithinPartitions("id").write.format("knnbin").option("element", element).mode("overwrite").save(path)
+    rows = in_order(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{cast}>").alias("vec")), "id")
+    rows.select(F.col("place").cast("bigint").alias("id"), "vec").write.format("knnbin").option("element", element).mode("overwrite").save(path)
