@@ -30,7 +30,7 @@ BY_NAME = {n: key for key, names in GIVEN_NAMES.items() for n in names}
 _WORD = r"[^\W\d_]"
 _CAP = rf"(?![a-zß-öø-ÿа-яёα-ωάέήίόύώ]){_WORD}{{2,}}(?:-{_WORD}+)?"
 #: Well-known shapes of keys: a fixed beginning, then letters and digits.
-_token = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{30,255}|glpat-[0-9A-Za-z_-]{20,64}|sk-[0-9A-Za-z_-]{20,200}|sk_live_[0-9A-Za-z]{16,64}|xox[abeprs]-[0-9A-Za-z-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,2000}\.eyJ[0-9A-Za-z_-]{10,4000}\.[0-9A-Za-z_-]{10,2000}"
+_token = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{30,255}|glpat-[0-9A-Za-z_-]{20,64}|sk-[0-9A-Za-z_-]{20,200}|sk_live_[0-9A-Za-z]{16,64}|xox[abeprs]-[0-9A-Za-z-]{10,200}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,16000}\.eyJ[0-9A-Za-z_-]{10,16000}\.[0-9A-Za-z_-]{10,16000}"
 _name = "|".join(sorted(map(re.escape, BY_NAME), key=len, reverse=True))
 _title = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 #: One scan finds all types; earlier alternatives win.
