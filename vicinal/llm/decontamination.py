@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import materialize
+from vicinal.llm.common import discard, materialize
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 #: Bits of the five blocks of a 64-bit fingerprint.
@@ -142,11 +142,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         .select("key", "len", "item_id", F.expr("o.lows / o.highs").alias("similarity"))
     )
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start")))
-    return (
+    found = (
         seen.select("doc_id", "content", "start", "len", "key").join(good, ["key", "len"])
         .groupBy("doc_id", "content", "item_id").agg(best.alias("m"))
         .select("doc_id", "content", "item_id", F.expr("-m.start").alias("window_start"), F.expr("m.similarity").alias("similarity"))
     )
+    found = materialize(found, "leaks")
+    discard(items, seen, unique)
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -156,16 +159,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def oracle() -> str:
-    """The matches as DuckDB SQL, by brute force over all windows that share a shingle with an item."""
+    """The matches as DuckDB SQL, by brute force over all item-sized windows at all starts that share a shingle with an item."""
     word = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     grams = "[array_to_string(list_slice({0}, i, i + 4), ' ') for i in range(1, greatest(1, len({0}) - 4) + 1)]"
     return f"""
 WITH it AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, {word} AS ws FROM benchmark) WHERE len(ws) > 0),
 ig AS (SELECT item_id, n, {grams.format('ws')} AS gs FROM it),
-ip AS (SELECT DISTINCT n, generate_subscripts(gs, 1) - 1 AS off, unnest(gs) AS g FROM ig),
+ip AS (SELECT DISTINCT n, unnest(gs) AS g FROM ig),
 dw AS (SELECT doc_id, ws FROM (SELECT DISTINCT doc_id, {word} AS ws FROM documents) WHERE len(ws) > 0),
 dp AS (SELECT doc_id, ws, generate_subscripts(gs, 1) - 1 AS pos, unnest(gs) AS g FROM (SELECT doc_id, ws, {grams.format('ws')} AS gs FROM dw)),
-st AS (SELECT DISTINCT doc_id, ws, n, greatest(0, least(pos - off, len(ws) - n)) AS start FROM dp JOIN ip USING (g)),
+sh AS (SELECT DISTINCT doc_id, ws, n, pos FROM dp JOIN ip USING (g)),
+st AS (SELECT DISTINCT doc_id, ws, n, start FROM sh, LATERAL (SELECT unnest(range(greatest(0, pos - n + 1), greatest(0, least(pos, len(ws) - n)) + 1)) AS start)),
 win AS (SELECT doc_id, n, start, {grams.format('list_slice(ws, start + 1, start + n)')} AS gs FROM st),
 wc AS (SELECT doc_id, n, start, g, count(*) AS c FROM (SELECT doc_id, n, start, unnest(gs) AS g FROM win) GROUP BY ALL),
 wt AS (SELECT doc_id, n, start, sum(c * length(replace(g, ' ', ''))) AS tot FROM wc GROUP BY ALL),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import hnsw
-from vicinal.llm.common import components, materialize, small_batches
+from vicinal.llm.common import components, discard, materialize, small_batches
 
 #: Distinct vectors of a shard, about; a label with more has several, and every vector queries all of them.
 SHARD_ROWS = 8192
@@ -126,7 +126,8 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     Null labels, and vectors that are null, empty, zero or hold a null or
     non-finite component, link with nothing and stay alone; so do vectors of
     unlike lengths.  Equal rows count as different vectors; rows with one id
-    are one vertex.
+    are one vertex.  An empty table gives an empty one; other columns are
+    ignored.
     """
     spark = vectors.sparkSession
     ok = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -184,6 +185,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                     yield pa.RecordBatch.from_pydict({"rep": pa.array(a), "links": pa.array(n.astype(np.int64)), "low": pa.array(low)})
 
     found = materialize(work.mapInArrow(link, "rep bigint, links bigint, low bigint"), "links")
+    discard(graphs)
     roots = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.join(totals, "rep", "left").join(roots, F.col("rep") == F.col("id"), "left").select(

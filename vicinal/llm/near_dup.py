@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import WordHasher, chunks_by_bytes, components, materialize, mix64, small_batches
+from vicinal.llm.common import WordHasher, chunks_by_bytes, components, discard, materialize, mix64, small_batches
 
 #: Document frequencies are counted in so many hash buckets: a fixed size, whatever the corpus.
 DF_BITS = 20
@@ -153,9 +153,11 @@ def parted_pairs(members: DataFrame, orders: int = ORDERS, leaf: int = LEAF, lea
     cur = members.select("level", "key", "content", "part", "samples", F.inline(order)).select(F.xxhash64("level", "key", "tree").alias("key"), "content", "part", "samples", "rest")
     agree = "size(filter(zip_with(x.samples, y.samples, (p, q) -> p = q), t -> t))"
     made: list[DataFrame] = []
+    held: list[DataFrame] = []
     for step in range(steps + 1):
         sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("content").alias("hub")).where("low <> high")
         now = materialize(cur.join(sizes.select("key", "n", "hub"), "key"), "pieces")
+        held.append(now)
         if step == steps:
             made.append(now.where("content <> hub").select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")))
             break
@@ -171,7 +173,9 @@ def parted_pairs(members: DataFrame, orders: int = ORDERS, leaf: int = LEAF, lea
     out = made[0]
     for d in made[1:]:
         out = out.union(d)
-    return out.distinct()
+    pairs = materialize(out.distinct(), "pairs")
+    discard(*held)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 2, seed: int = 11) -> DataFrame:
@@ -192,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a class unless all ids are null.  Equal rows give equal rows.  Other
     columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, done = docs.sparkSession, []
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("content"))
     freq, n_docs = bucket_frequencies(src, "text", size)
     weights = spark.sparkContext.broadcast(idf_table(freq, n_docs))  # 4 MB, whatever the corpus
@@ -228,6 +232,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = texts.select(F.unhex("content").alias("content"), F.posexplode("keys").alias("level", "key"))
     stars = buckets.groupBy("level", "key").agg(F.min("content").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
+    done.append(shared)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf, last, kept = WordHasher(), weights.value, None, None
@@ -249,13 +254,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if needed.count() <= BROADCAST_KEYS:
             needed = F.broadcast(needed)
         bodies = materialize(src.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")), "texts")
+        done.append(bodies)
         pairs = links.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
         pairs = pairs.join(bodies.select(F.col("content").alias("a"), F.col("text").alias("a_text")), "a")
         pairs = pairs.join(bodies.select(F.col("content").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
         return pairs.mapInArrow(verify, "a string, b string")
 
     links = materialize(shared.where("content <> low").select(F.col("content").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
-    roots = components(verified(links))
+    verified_links = materialize(verified(links), "verified")
+    roots = components(verified_links)
     # two bands that agree are a bucket of each band as well, so the buckets of the bands hold all pairs
     parts = roots.select(F.unhex("id").alias("content"), F.unhex("component").alias("component"))
     members = shared.where(F.col("level") < bands).join(parts, "content", "left").select("level", "key", "content", F.coalesce("component", "content").alias("part"))
@@ -264,10 +271,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     drawn = texts.select(F.unhex("content").alias("content"), "samples")
     apart = materialize(members.join(mixed, ["level", "key"], "left_semi").join(drawn, "content"), "apart")
     tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(parted_pairs(apart, least=round(AGREE * n_samples / 24)).join(tried, ["a", "b"], "left_anti"), "rest")
+    pairs = parted_pairs(apart, least=round(AGREE * n_samples / 24))
+    rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verified(rest), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    discard(*done, links, verified_links, members, apart, pairs, rest, more)
     first_ids = signed.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("low"))
     classes = first_ids.join(roots, F.col("content") == F.col("id"), "left").withColumn("component", F.coalesce("component", "content"))
     names = classes.groupBy("component").agg(F.min("low").alias("class_id"))
