@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's docs.
+
+Null ids, texts, languages and sources, empty and very long texts, repeated
+rows, empty tables and extra columns pass through as the operators define:
+documents without a letter go in the first stage, null texts with them; equal
+rows are one near-duplicate class, of which one stays; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.llm import decontamination, language_id, mixing, near_dup, pii
-from vicinal.llm.common import crc_mod, materialize, table
+from vicinal.llm.common import crc_mod, discard, materialize, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
