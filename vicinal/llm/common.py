@@ -91,7 +91,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
-    prev = None
+    sums = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first())
+    prev, last = None, sums(cur)
     for _ in range(max_rounds):
         # large star: every larger neighbour is linked to the smallest neighbour
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -104,14 +105,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         new = materialize(small, "cc")
-        sums = [
-            (r[0], r[1], r[2]) for d in (cur, new)
-            for r in [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()]
-        ]
         if prev is not None:
             discard(prev)
-        prev, cur = cur, new
-        if sums[0] == sums[1]:
+        prev, cur, before, last = cur, new, last, sums(new)
+        if before == last:
             break
     else:
         raise RuntimeError("components did not settle")

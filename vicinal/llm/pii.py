@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hmac
 import ipaddress
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -64,27 +65,29 @@ def keyed(key: bytes, *parts: object) -> int:
 
 
 def walk(key: bytes, label: str, value: int, size: int, back: bool = False) -> int:
-    """A keyed permutation of 0..size-1 or its inverse: a balanced Feistel network, walked until inside the range."""
-    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    """A keyed permutation of 0..size-1 or its inverse: a Feistel network over two parts of about equal range, walked until inside."""
+    high = math.isqrt(max(size - 1, 0)) + 1
+    low = -(-size // high)
     while True:
-        a, b = value >> half, value & mask
-        for i in range(6):
-            if back:
-                a, b = b ^ (wide(key, label, 5 - i, a, half) & mask), a
+        a, b = divmod(value, low)
+        for i in range(5, -1, -1) if back else range(6):
+            if i % 2:
+                step = wide(key, label, i, a, low)
+                b = (b - step if back else b + step) % low
             else:
-                a, b = b, a ^ (wide(key, label, i, b, half) & mask)
-        value = (a << half) | b
+                step = wide(key, label, i, b, high)
+                a = (a - step if back else a + step) % high
+        value = a * low + b
         if value < size:
             return value
 
 
-def wide(key: bytes, label: str, round_: int, value: int, bits: int) -> int:
-    """At least `bits` keyed bits."""
+def wide(key: bytes, label: str, round_: int, value: int, size: int) -> int:
+    """A keyed number below size."""
     out = 0
-    for i in range(bits // 128 + 1):
+    for i in range(size.bit_length() // 64 + 1):
         out = (out << 128) | keyed(key, label, round_, i, f"{value:x}")
-    return out
+    return out % size
 
 
 def permute(key: bytes, label: str, value: int, size: int) -> int:
