@@ -26,6 +26,7 @@ RP = LshOptions("random_projections", 32, 3, 4, 105_613, 1.0, seed=42)
 RP_OVERSCAN = LshOptions("random_projections", 32, 3, 4, 105_613, 1.0, seed=42, overscan=10)
 ENTROPY = LshOptions("entropy_based", 32, 2, 8, 105_613, num_cut_off_points=6, seed=42)
 MIXED = LshOptions("mixed", 32, 4, 8, 105_613, 0.2, 16, seed=42)
+SMALL = LshOptions("random_projections", 32, 3, 4, 101, 1.0, seed=42)
 LINES = LshOptions("random_projections", 32, 6, 8, 105_613, 0.1, seed=42)
 
 
@@ -195,6 +196,50 @@ def ground_truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_knnbin(spark, path, "long").select(F.col("id").alias("query_id"), F.posexplode("vec").alias("rank", "neighbor_id")).withColumn("rank", F.col("rank") + 1)
 
 
+def saved_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours' distances, saved and read again."""
+    p, path = points(spark, sf_dir), mounted_path(spark, ".distances")
+    KnnResult(exact(p, K), p.select("id"), K, p.count()).save_distances(path)
+    rows = read_knnbin(spark, path, "double").select(F.col("id").alias("query_id"), F.posexplode("vec").alias("rank", "distance"))
+    return rows.withColumn("rank", F.col("rank") + 1)
+
+
+def _converted(kind: str):
+    write = {"csv": text.write_vector_csv, "arff": text.write_arff, "libsvm": text.write_libsvm}[kind]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, target = shared_path(spark, f".{kind}"), mounted_path(spark, ".bin")
+        write(points(spark, sf_dir), source)
+        text.convert_to_knnbin(spark, source, target)
+        return read_knnbin(spark, target)
+
+    return query
+
+
+def _diagnostic_csv(write, column: str, value: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = mounted_path(spark, ".txt")
+        write(fitted(spark, sf_dir, SMALL), path)
+        cells = F.split("value", ",").cast("array<bigint>")
+        rows = spark.read.text(path).where("value NOT LIKE '#%'").select(cells.alias("c"))
+        return rows.select(F.col("c")[0].cast("int").alias("hash_table"), F.posexplode(F.slice("c", 2, F.size("c"))).alias(column, value))
+
+    return query
+
+
+def candidate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.candidate_histogram(candidate_counts(spark, sf_dir))
+
+
+def expected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.expected_pairs(fitted(spark, sf_dir, RP).index.bucket_counts())
+
+
+def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prime table sizes that the tuner chooses from."""
+    return spark.createDataFrame([(p,) for p in tuning.primes(1000, 200_000)], "prime bigint")
+
+
 def knn_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each query, its padded neighbours joined in order."""
     return fitted(spark, sf_dir, RP).kneighbors().wide().select("query_id", F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("neighbors"))
@@ -232,6 +277,9 @@ QUERIES = {
     "minmax_scaled_vectors": minmax_scaled_vectors, "debug_ramp": debug_ramp, "lineitem_knn": lineitem_knn,
     "csv_roundtrip": csv_roundtrip, "arff_roundtrip": arff_roundtrip, "libsvm_roundtrip": libsvm_roundtrip, "ground_truth_files": ground_truth_files,
     "knn_wide": knn_wide, "mean_bucket_sizes": mean_bucket_sizes, "hash_combine_u64": hash_combine_64, "gaussian_blobs": gaussian_blobs,
+    "saved_distances": saved_distances, "csv_to_binary": _converted("csv"), "arff_to_binary": _converted("arff"), "libsvm_to_binary": _converted("libsvm"),
+    "bucket_csv": _diagnostic_csv(diagnostics.write_bucket_csv, "bucket", "n"), "candidate_csv": _diagnostic_csv(diagnostics.write_candidate_csv, "query", "candidates"),
+    "candidate_histogram": candidate_histogram, "expected_pairs": expected_pairs, "table_sizes": table_sizes,
     "tune_grid": tune_grid, "binary_roundtrip": binary_roundtrip, "knn_majority_vote": knn_majority_vote,
 }
 
@@ -243,6 +291,7 @@ def _with(*ctes: str) -> str:
 def _oracles() -> dict[str, str]:
     rp, entropy, mixed = sql.buckets(RP), sql.buckets(ENTROPY), sql.buckets(MIXED)
     pts = f"pts AS ({sql.POINTS})"
+    small = sql.buckets(SMALL)
     exact_cte = sql.neighbours(K, sql.ALL_PAIRS, "truth")
     columns = "SELECT query_id, rank, neighbor_id, distance FROM "
     bk = "SELECT hash_table::INT AS hash_table, bucket::BIGINT AS bucket, id FROM bk"
@@ -300,6 +349,13 @@ def _oracles() -> dict[str, str]:
         "debug_ramp": "SELECT i AS id, list_transform(range(0, 8), lambda j: ((i * 8 + j) % 1000)::FLOAT) AS vec FROM range(0, 1000) t(i)",
         "lineitem_knn": _with(scaled(lines), line_bk, sql.neighbours(K, line_pairs)) + columns + "knn",
         "binary_roundtrip": sql.POINTS, "csv_roundtrip": sql.POINTS, "arff_roundtrip": sql.POINTS, "libsvm_roundtrip": sql.POINTS,
+        "csv_to_binary": sql.POINTS, "arff_to_binary": sql.POINTS, "libsvm_to_binary": sql.POINTS,
+        "saved_distances": _with(pts, exact_cte) + "SELECT query_id, rank, distance FROM truth",
+        "bucket_csv": _with(small, f"cells AS (SELECT t AS hash_table, b AS bucket FROM range(0, {SMALL.num_hash_tables}) x(t), range(0, {SMALL.buckets}) y(b))") + "SELECT hash_table::INT AS hash_table, bucket::INT AS bucket, count(id) AS n FROM cells LEFT JOIN bk USING (hash_table, bucket) GROUP BY ALL",
+        "candidate_csv": _with(small, sql.first_pairs(), f"cells AS (SELECT t AS hash_table, id AS query_id FROM range(0, {SMALL.num_hash_tables}) x(t), pts)") + "SELECT hash_table::INT AS hash_table, (row_number() OVER (PARTITION BY hash_table ORDER BY query_id) - 1)::INT AS query, candidates FROM (SELECT c.hash_table, c.query_id, count(fp.query_id) AS candidates FROM cells c LEFT JOIN fp USING (hash_table, query_id) GROUP BY ALL)",
+        "candidate_histogram": _with(rp, sql.first_pairs()) + "SELECT hash_table, candidates, count(*) AS queries FROM (SELECT hash_table::INT AS hash_table, query_id, count(*) AS candidates FROM fp GROUP BY ALL) GROUP BY ALL",
+        "expected_pairs": _with(rp, counts) + "SELECT sum(n * (n - 1))::BIGINT AS pairs FROM cn",
+        "table_sizes": "SELECT n AS prime FROM range(1000, 200001) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 448) d(i) WHERE n % i = 0 AND i < n)",
         "ground_truth_files": _with(pts, exact_cte) + "SELECT query_id, rank, neighbor_id FROM truth",
         "knn_wide": _with(rp, knn, padded.partition(" SELECT ")[0]) + "SELECT query_id, string_agg(coalesce(neighbor_id, query_id)::VARCHAR, ',' ORDER BY rank) AS neighbors FROM sl2 LEFT JOIN knn USING (query_id, rank) GROUP BY query_id",
         "mean_bucket_sizes": _with(rp, counts) + "SELECT hash_table, count(*) AS used_buckets, round(avg(n), 6) AS mean_size, max(n) AS largest FROM cn GROUP BY hash_table",
