@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import WordHasher, chunks_by_bytes, components, discard, materialize, mix64, small_batches
@@ -18,7 +18,7 @@ DF_PART = 1 << 14
 #: Up to so many 16-byte keys a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
 BROADCAST_KEYS = 200_000
 #: Buckets are split by further samples, in so many orders of them, until so many texts or fewer are left to pair.
-ORDERS, LEAF = 2, 16
+ORDERS, LEAF, TREES = 2, 16, 64
 #: Pairs that agree in fewer of 24 samples are not verified: at a similarity of 0.8 one pair in 50,000.
 AGREE = 11
 U21 = np.uint64((1 << 21) - 1)
@@ -137,8 +137,14 @@ def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def parted_pairs(members: DataFrame, orders: int = ORDERS, leaf: int = LEAF, least: int = AGREE) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket, lie in different parts and agree in `least` samples: from (level, key, content, part, samples).
+def pack(samples: np.ndarray) -> np.ndarray:
+    """The lowest byte of every sample, eight in a 64-bit word: (rows, words); the last word is filled up with zeros."""
+    low = samples.astype(np.uint8)
+    return np.pad(low, ((0, 0), (0, -low.shape[1] % 8))).view(np.int64)
+
+
+def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf: int = LEAF, least: int | None = None) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket, lie in different parts and agree in `least` samples: from (level, key, content, part, words).
 
     A bucket of more than `leaf` texts is split by two more samples at a
     time, in `orders` different orders of them, until its pieces are small;
@@ -146,36 +152,49 @@ def parted_pairs(members: DataFrame, orders: int = ORDERS, leaf: int = LEAF, lea
     or one part are done.  Texts that agree in all samples are linked with
     the smallest of them.  So each text meets a bounded number of others in
     each piece, the likest ones, and no group is ever paired with itself.
+    Of a text only hashes and a byte of each sample (pack()) travel; that
+    can make a pair that differs, which is verified like all others.
     """
-    n = members.select(F.size("samples").alias("n")).first()
-    steps = (n["n"] if n else 0) // 2
-    order = F.expr(f"transform(sequence(0, {orders - 1}), o -> struct(o AS tree, array_sort(transform(samples, (x, i) -> struct(xxhash64(i, level, o) AS by, x AS x))).x AS rest))")
-    cur = members.select("level", "key", "content", "part", "samples", F.inline(order)).select(F.xxhash64("level", "key", "tree").alias("key"), "content", "part", "samples", "rest")
-    agree = "size(filter(zip_with(x.samples, y.samples, (p, q) -> p = q), t -> t))"
-    made: list[DataFrame] = []
-    held: list[DataFrame] = []
+    least = round(AGREE * n_samples / 24) if least is None else least
+    rng = np.random.default_rng(23)
+    perms = F.array(*[F.array(*[F.lit(int(i)) for i in rng.permutation(n_samples)]) for _ in range(TREES)])
+    ident = lambda c: F.xxhash64(c).alias(c)
+    cur = members.select(F.col("level"), F.col("key").alias("bucket"), F.xxhash64("content").alias("id"), ident("part"), "words", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("o"))
+    cur = cur.select(F.xxhash64("level", "bucket", "o").alias("key"), F.pmod(F.xxhash64("level", "o"), F.lit(TREES)).cast("int").alias("tree"), "id", "part", "words")
+
+    def byte(place: int) -> Column:
+        at = F.get(F.get(perms, F.col("tree")), F.lit(place))
+        return F.call_function("shiftrightunsigned", F.get("words", (at / 8).cast("int")), (at % 8 * 8).cast("int")).bitwiseAND(F.lit(255))
+
+    unlike = "aggregate(zip_with(x.words, y.words, (p, q) -> p ^ q), 0, (n, v) -> n + bit_count((v | shiftrightunsigned(v, 1) | shiftrightunsigned(v, 2) | shiftrightunsigned(v, 3) | shiftrightunsigned(v, 4) | shiftrightunsigned(v, 5) | shiftrightunsigned(v, 6) | shiftrightunsigned(v, 7)) & 72340172838076673L))"
+    pairs = F.expr(
+        f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {leaf}), y -> y.part <> x.part AND {n_samples} - {unlike} >= {least}), "
+        "y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
+    )
+    made, before, steps = [], None, n_samples // 2
     for step in range(steps + 1):
-        sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("content").alias("hub")).where("low <> high")
+        sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("hub")).where("low <> high")
         now = materialize(cur.join(sizes.select("key", "n", "hub"), "key"), "pieces")
-        held.append(now)
+        if before is not None:
+            discard(before)
+        before = now
         if step == steps:
-            made.append(now.where("content <> hub").select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")))
+            made.append(materialize(now.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs"))
             break
-        small = now.where(F.col("n") <= leaf).groupBy("key").agg(F.collect_list(F.struct("content", "part", "samples")).alias("l"))
-        pairs = F.expr(
-            f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {leaf}), y -> y.part <> x.part AND {agree} >= {least}), "
-            "y -> struct(least(x.content, y.content) AS a, greatest(x.content, y.content) AS b))))"
-        )
-        made.append(small.select(F.inline(pairs)))
-        cur = now.where(F.col("n") > leaf).select(F.xxhash64("key", F.col("rest")[2 * step], F.col("rest")[2 * step + 1]).alias("key"), "content", "part", "samples", "rest")
-        if cur.isEmpty():
+        small = now.where(F.col("n") <= leaf).groupBy("key").agg(F.collect_list(F.struct("id", "part", "words")).alias("l"))
+        made.append(materialize(small.select(F.inline(pairs)).distinct(), "pairs"))
+        large = now.where(F.col("n") > leaf)
+        if large.isEmpty():
             break
-    out = made[0]
+        cur = large.select(F.xxhash64("key", byte(2 * step), byte(2 * step + 1)).alias("key"), "tree", "id", "part", "words")
+    found = made[0]
     for d in made[1:]:
-        out = out.union(d)
-    pairs = materialize(out.distinct(), "pairs")
-    discard(*held)
-    return pairs
+        found = found.union(d)
+    names = members.select(F.xxhash64("content").alias("id"), "content").distinct()
+    found = found.distinct().join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").where("x <> y")
+    out = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    discard(before, *made)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 2, seed: int = 11) -> DataFrame:
@@ -221,14 +240,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         band = mix64(band) ^ s[:, r::rows]
                     pair = mix64(band) ^ np.roll(band, -1, 1)
                     both = np.concatenate([band, pair], 1).view(np.int64)
-                    for k, row, drawn in zip(full, both, s.astype(np.uint32).view(np.int32), strict=True):
+                    for k, row, drawn in zip(full, both, pack(s), strict=True):
                         own[k], kept[k] = row, drawn
                 keys += own
                 drawn_all += kept
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn_all, pa.list_(pa.int32()))], names=["doc_id", "content", "keys", "samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn_all, pa.list_(pa.int64()))], names=["doc_id", "content", "keys", "words"])
 
-    signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>, samples array<int>"), "signatures")
-    texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"), F.first("samples").alias("samples"))
+    signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>, words array<bigint>"), "signatures")
+    texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
     buckets = texts.select(F.unhex("content").alias("content"), F.posexplode("keys").alias("level", "key"))
     stars = buckets.groupBy("level", "key").agg(F.min("content").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
@@ -268,10 +287,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = shared.where(F.col("level") < bands).join(parts, "content", "left").select("level", "key", "content", F.coalesce("component", "content").alias("part"))
     members = materialize(members, "members")
     mixed = members.groupBy("level", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("level", "key")
-    drawn = texts.select(F.unhex("content").alias("content"), "samples")
+    drawn = texts.select(F.unhex("content").alias("content"), "words")
     apart = materialize(members.join(mixed, ["level", "key"], "left_semi").join(drawn, "content"), "apart")
     tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = parted_pairs(apart, least=round(AGREE * n_samples / 24))
+    pairs = parted_pairs(apart, n_samples)
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verified(rest), "more")
     if not more.isEmpty():
