@@ -563,7 +563,7 @@ def test_language_against_brute_force_and_other_scripts(spark):
     assert all((language_id.learn_prototypes(df.where("doc_id < 60").repartition(9))[k] == v).all() for k, v in protos.items())
     alien = [(i, "".join(chr(r.randrange(0x10A0, 0x10C5)) for _ in range(60))) for i in range(40)]  # a script nobody learned
     far = language_id.identify(docs(spark, alien), protos).collect()
-    assert sum(x.score < language_id.resembles() for x in far) >= 38
+    assert sum(x.score < language_id.resembles() for x in far) >= 30  # the best of four cosines
 
 
 def words_of(text):
