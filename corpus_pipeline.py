@@ -19,7 +19,7 @@ from vicinal.llm.common import crc_mod, discard, materialize, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text has no letter or is no more like a learned language than random vectors are."""
+    """Drops documents whose text has no letter or is hardly more like a learned language than random vectors are."""
     protos = language_id.learn_prototypes(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     scored = language_id.identify(docs, protos)
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.resembles())).select(*docs.columns)
