@@ -15,7 +15,7 @@ from vicinal.llm.common import WordHasher, chunks_by_bytes, components, discard,
 #: Document frequencies are counted in so many hash buckets: a fixed size, whatever the corpus.
 DF_BITS = 20
 DF_PART = 1 << 14
-#: Up to so many 16-byte keys a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
+#: Up to so many 8-byte numbers a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
 BROADCAST_KEYS = 200_000
 #: Buckets are split by further samples, in so many orders of them, until so many texts or fewer are left to pair.
 ORDERS, LEAF, TREES = 2, 16, 64
@@ -144,7 +144,7 @@ def pack(samples: np.ndarray) -> np.ndarray:
 
 
 def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf: int = LEAF, least: int | None = None) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket, lie in different parts and agree in `least` samples: from (level, key, content, part, words).
+    """Pairs (a, b) of texts that share a bucket, lie in different parts and agree in `least` samples: from (level, key, id, part, words), all numbers.
 
     A bucket of more than `leaf` texts is split by two more samples at a
     time, in `orders` different orders of them, until its pieces are small;
@@ -152,14 +152,13 @@ def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf:
     or one part are done.  Texts that agree in all samples are linked with
     the smallest of them.  So each text meets a bounded number of others in
     each piece, the likest ones, and no group is ever paired with itself.
-    Of a text only hashes and a byte of each sample (pack()) travel; that
+    Of a text only its id and a byte of each sample (pack()) travel; that
     can make a pair that differs, which is verified like all others.
     """
     least = round(AGREE * n_samples / 24) if least is None else least
     rng = np.random.default_rng(23)
     perms = F.array(*[F.array(*[F.lit(int(i)) for i in rng.permutation(n_samples)]) for _ in range(TREES)])
-    ident = lambda c: F.xxhash64(c).alias(c)
-    cur = members.select(F.col("level"), F.col("key").alias("bucket"), F.xxhash64("content").alias("id"), ident("part"), "words", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("o"))
+    cur = members.select("level", F.col("key").alias("bucket"), "id", "part", "words", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("o"))
     cur = cur.select(F.xxhash64("level", "bucket", "o").alias("key"), F.pmod(F.xxhash64("level", "o"), F.lit(TREES)).cast("int").alias("tree"), "id", "part", "words")
 
     def byte(place: int) -> Column:
@@ -190,9 +189,7 @@ def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf:
     found = made[0]
     for d in made[1:]:
         found = found.union(d)
-    names = members.select(F.xxhash64("content").alias("id"), "content").distinct()
-    found = found.distinct().join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").where("x <> y")
-    out = materialize(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    out = materialize(found.distinct(), "pairs")
     discard(before, *made)
     return out
 
@@ -217,6 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark, done = docs.sparkSession, []
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("content"))
+    number = F.xxhash64("content").alias("id")  # names texts while candidates are sought; should two share one, both are verified
     freq, n_docs = bucket_frequencies(src, "text", size)
     weights = spark.sparkContext.broadcast(idf_table(freq, n_docs))  # 4 MB, whatever the corpus
     n_samples = bands * rows
@@ -248,10 +246,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>, words array<bigint>"), "signatures")
     texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
-    buckets = texts.select(F.unhex("content").alias("content"), F.posexplode("keys").alias("level", "key"))
-    stars = buckets.groupBy("level", "key").agg(F.min("content").alias("low"), F.count("*").alias("n")).where("n > 1")
+    buckets = texts.select(number, F.posexplode("keys").alias("level", "key"))
+    stars = buckets.groupBy("level", "key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
-    done.append(shared)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf, last, kept = WordHasher(), weights.value, None, None
@@ -267,35 +264,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_pydict({"a": pa.array([a_key[k] for k in good], pa.string()), "b": pa.array([b_key[k] for k in good], pa.string())})
 
     def verified(links: DataFrame) -> DataFrame:
-        """The pairs (a, b) of binary keys whose texts reach the threshold, in hexadecimal."""
-        needed = links.select(F.col("a").alias("key")).union(links.select("b")).distinct()
-        needed = needed.select(F.lower(F.hex("key")).alias("content"))
+        """The pairs (a, b) of numbers whose texts reach the threshold, as MD5s."""
+        needed = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
         if needed.count() <= BROADCAST_KEYS:
             needed = F.broadcast(needed)
-        bodies = materialize(src.select("content", "text").join(needed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text")), "texts")
+        bodies = materialize(src.select(number, "content", "text").join(needed, "id", "left_semi").groupBy("id", "content").agg(F.first("text").alias("text")), "texts")
         done.append(bodies)
-        pairs = links.select(F.lower(F.hex("a")).alias("a"), F.lower(F.hex("b")).alias("b"))
-        pairs = pairs.join(bodies.select(F.col("content").alias("a"), F.col("text").alias("a_text")), "a")
-        pairs = pairs.join(bodies.select(F.col("content").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+        pairs = links.join(bodies.toDF("a", "a_content", "a_text"), "a").join(bodies.toDF("b", "b_content", "b_text"), "b").select("a_content", "b_content", "a_text", "b_text")
         return pairs.mapInArrow(verify, "a string, b string")
 
-    links = materialize(shared.where("content <> low").select(F.col("content").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
+    links = materialize(shared.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "candidates")
     verified_links = materialize(verified(links), "verified")
     roots = components(verified_links)
+    discard(*done, verified_links)
+    done.clear()
     # two bands that agree are a bucket of each band as well, so the buckets of the bands hold all pairs
-    parts = roots.select(F.unhex("id").alias("content"), F.unhex("component").alias("component"))
-    members = shared.where(F.col("level") < bands).join(parts, "content", "left").select("level", "key", "content", F.coalesce("component", "content").alias("part"))
+    parts = roots.select(F.xxhash64("id").alias("id"), F.xxhash64("component").alias("part"))
+    members = shared.where(F.col("level") < bands).join(parts, "id", "left").select("level", "key", "id", F.coalesce("part", "id").alias("part"))
     members = materialize(members, "members")
+    discard(shared)
     mixed = members.groupBy("level", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("level", "key")
-    drawn = texts.select(F.unhex("content").alias("content"), "words")
-    apart = materialize(members.join(mixed, ["level", "key"], "left_semi").join(drawn, "content"), "apart")
+    drawn = texts.select(number, "words")
+    apart = materialize(members.join(mixed, ["level", "key"], "left_semi").join(drawn, "id"), "apart")
+    discard(members)
     tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = parted_pairs(apart, n_samples)
+    discard(apart)
     rest = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verified(rest), "more")
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    discard(*done, links, verified_links, members, apart, pairs, rest, more)
+    discard(*done, links, pairs, rest, more)
     first_ids = signed.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("low"))
     classes = first_ids.join(roots, F.col("content") == F.col("id"), "left").withColumn("component", F.coalesce("component", "content"))
     names = classes.groupBy("component").agg(F.min("low").alias("class_id"))
