@@ -149,7 +149,7 @@ class WordHasher:
 
     def _grow(self, n: int) -> None:
         if len(self.pw) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 18)
             for name, b in (("pw", self.base), ("inv", pow(self.base, -1, 2**64))):
                 a = np.full(n, b, np.uint64)
                 a[0] = 1
