@@ -225,8 +225,11 @@ def test_unigram_scores_are_exact(spark, monkeypatch):
         rows = lm.score_documents(docs(spark, texts)).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == reference_base(texts)
         assert all(r.score < 0 for r in rows)
-    moved = lm.score_documents(docs(spark, texts).repartition(7)).collect()
-    assert sorted((str(r.doc_id), round(r.score, 5)) for r in moved) == sorted((str(r.doc_id), round(r.score, 5)) for r in rows)
+    want = sorted((str(r.doc_id), r.score) for r in rows)
+    for sets in (4096, 3):  # with 3, tasks add up the parameters of several groups
+        monkeypatch.setattr(lm, "MOST_SETS", sets)
+        moved = sorted((str(r.doc_id), r.score) for r in lm.score_documents(docs(spark, texts).repartition(7)).collect())
+        assert all(a == b and math.isclose(x, y, rel_tol=1e-4) for (a, x), (b, y) in zip(moved, want, strict=True))
     assert lm.score_documents(docs(spark, [])).count() == 0
 
 
