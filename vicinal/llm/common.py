@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 4 * BATCH_ROWS) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """Fewer rows in the Arrow batches of the actions inside; the session's own setting is back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -55,7 +55,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a reader of it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    A reader of such a table is returned as it is.
     """
+    if getattr(df, "_vicinal_path", None):
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with arrow_rows(spark):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import mix64, small_batches
+from vicinal.llm.common import arrow_rows, mix64, small_batches
 
 DIM = 1024
 #: A trigram's code has 21 bits, a code point, for each letter; 0 is any run of other characters.
@@ -143,7 +143,8 @@ def learn_prototypes(docs: DataFrame, lang: str = "lang", text: str = "text", di
     kind = "lang string, vector array<double>"
     each = known.mapInArrow(bundle, kind).withColumn("salt", (F.spark_partition_id() / 128).cast("int"))
     some = each.groupBy("lang", "salt").applyInPandas(lambda p: total(p), kind)
-    rows = some.groupBy("lang").applyInPandas(total, kind).collect()
+    with arrow_rows(docs.sparkSession):
+        rows = some.groupBy("lang").applyInPandas(total, kind).collect()
     made = {r["lang"]: np.array(r["vector"]) for r in sorted(rows, key=lambda r: r["lang"])}
     return {k: v / (np.linalg.norm(v) or 1.0) for k, v in made.items()}
 

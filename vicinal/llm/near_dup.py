@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import WordHasher, chunks_by_bytes, components, discard, materialize, mix64, small_batches
+from vicinal.llm.common import WordHasher, arrow_rows, chunks_by_bytes, components, discard, materialize, mix64, small_batches
 
 #: Document frequencies are counted in so many hash buckets: a fixed size, whatever the corpus.
 DF_BITS = 20
@@ -81,7 +81,9 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarra
     # two levels, so that one task adds the parts of some hundred tasks at most
     half = once.withColumn("salt", (F.spark_partition_id() / 128).cast("int")).groupBy("part", "salt").applyInPandas(lambda p: add(p), "part int, n binary")
     out, total = np.zeros((1 << DF_BITS) // DF_PART * DF_PART, np.int64).reshape(-1, DF_PART), 0
-    for r in half.groupBy("part").applyInPandas(add, "part int, n binary").collect():  # 64 parts of 128 kB
+    with arrow_rows(docs.sparkSession):
+        rows = half.groupBy("part").applyInPandas(add, "part int, n binary").collect()  # 64 parts of 128 kB
+    for r in rows:
         if r["part"] < 0:
             total = int(np.frombuffer(r["n"], np.int64)[0])
         else:
