@@ -22,7 +22,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Drops documents whose text has no letter or is hardly more like a learned language than random vectors are."""
     protos = language_id.learn_prototypes(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
     scored = language_id.identify(docs, protos)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.resembles())).select(*docs.columns)
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= language_id.resembles())).select(*docs.columns)
+    return materialize(kept, "language")  # written here, where whole texts go to Python in small batches
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives every detected entity a surrogate; n_chars follows the new text."""
     out = pii.pseudonymize(docs)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else out
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+    return materialize(out, "personal_data")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
