@@ -211,8 +211,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null texts and texts without words form no class but that of equal texts:
     a null text stays alone (class_id is its own id).  A null id never names
-    a class unless all ids are null.  Equal rows give equal rows.  Other
-    columns are ignored.
+    a class unless all ids are null.  Equal rows give equal rows; texts of any
+    length count whole; an empty table gives an empty one.  Other columns are
+    ignored.
     """
     spark, done = docs.sparkSession, []
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("content"))
