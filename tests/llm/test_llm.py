@@ -339,6 +339,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(low[i] <= got[i] for i in by)
 
 
+def test_near_copies_in_a_large_group(spark):
+    # 300 copies of a text that is not there itself, each with 1 to 6 of 200 words changed, among 500 others
+    r, base, texts, changes = random.Random(8), prose(77, 200, 5000).split(), [], {}
+    for i in range(300):
+        own, changes[i] = list(base), 1 + i % 6
+        for at in r.sample(range(200), changes[i]):
+            own[at] = f"x{r.randrange(10**6)}"
+        texts.append((i, " ".join(own)))
+    d = docs(spark, texts + [(1000 + i, prose(8000 + i, 200, 5000)) for i in range(500)])
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()}
+    # a copy with three changes shares 181 of 211 shingles with the text: what the group shares must not weigh less for its size
+    assert sum(got[i] == 0 for i in changes if changes[i] <= 3) >= 148
+    freq, n = near_dup.bucket_frequencies(d, "text", 5)
+    idf, sets = near_dup.idf_table(freq, n), near_dup.shingle_sets(common.WordHasher(), [t for _, t in texts], 5)
+    true = [p for p in itertools.combinations(range(300), 2) if near_dup.weighted_jaccard(sets[p[0]], sets[p[1]], idf) >= 0.8]
+    assert len(true) > 2000 and same_class(true, got) > 0.99
+    assert all(got[1000 + i] == 1000 + i for i in range(500))
+
+
 def test_pairs_in_a_crowd_that_shares_a_passage(spark):
     # 300 texts share a passage that makes all of them candidates of each other; only the planted pairs are similar
     passage = prose(900, 200, 5000)

@@ -15,6 +15,8 @@ from vicinal.llm.common import WordHasher, arrow_rows, chunks_by_bytes, componen
 #: Document frequencies are counted in so many hash buckets: a fixed size, whatever the corpus.
 DF_BITS = 20
 DF_PART = 1 << 14
+#: A text that agrees in all samples of one of so many bands with a text of smaller number is not counted in document frequencies.
+THIN_BANDS, THIN_ROWS = 6, 4
 #: Up to so many 8-byte numbers a filter of needed texts is broadcast; beyond, texts are filtered by a shuffled join.
 BROADCAST_KEYS = 200_000
 #: Buckets are split by further samples, in so many orders of them, until so many texts or fewer are left to pair.
@@ -56,8 +58,62 @@ def shingle_sets(hasher: WordHasher, texts: list[str | None], size: int) -> list
     return out
 
 
+def copies(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Numbers of the texts of (id, text) that are like one of smaller number, and of those in several rows.
+
+    Likeness is read from plain min-hashes of the shingle sets: a text of
+    Jaccard similarity 0.85 to a group's usual text is found with a chance
+    of 0.99.  Nothing else is decided by it than which texts are counted.
+    """
+    rng = np.random.default_rng(29)
+    seeds, odds = (rng.integers(1, 2**63, THIN_BANDS * THIN_ROWS, dtype=np.uint64) for _ in range(2))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for b in small_batches(batches):
+            texts, keys = b.column(1).to_pylist(), []
+            for i, j in chunks_by_bytes(texts):
+                sets = [h for h, _ in shingle_sets(hasher, texts[i:j], size)]
+                full = [k for k, h in enumerate(sets) if len(h)]
+                own: list = [None] * len(sets)
+                if full:
+                    h = np.concatenate([sets[k] for k in full])
+                    first = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
+                    low = np.stack([np.minimum.reduceat((h ^ s) * (o | np.uint64(1)), first) for s, o in zip(seeds, odds, strict=True)], 1)
+                    band = mix64(low[:, ::THIN_ROWS])
+                    for r in range(1, THIN_ROWS):
+                        band = mix64(band) ^ low[:, r::THIN_ROWS]
+                    for k, row in zip(full, band.view(np.int64), strict=True):
+                        own[k] = row
+                keys += own
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    drawn = materialize(docs.mapInArrow(sketch, "id bigint, keys array<bigint>"), "sketches")
+    bands = drawn.select("id", F.posexplode("keys").alias("level", "key"))
+    lows = bands.groupBy("level", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    like = materialize(bands.join(lows, ["level", "key"]).where("id <> low").select("id").distinct(), "like")
+    several = materialize(drawn.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "several")
+    discard(drawn)
+    return like, several
+
+
 def bucket_frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, int]:
-    """Number of documents with a shingle in each hash bucket, over all documents, and their number."""
+    """Number of documents with a shingle in each hash bucket, and the number of documents counted.
+
+    Of equal texts and of groups of near copies (copies()) few are counted:
+    otherwise what a group shares would weigh less the larger the group is,
+    and its members would be the less alike.
+    """
+    src = docs.select(F.xxhash64(text).alias("id"), F.col(text).alias("text"))
+    like, several = copies(src, size)
+    skip, again = like.union(several).distinct(), several.join(like, "id", "left_anti")
+    few = skip.count() <= BROADCAST_KEYS
+    small = F.broadcast if few else lambda d: d
+    single = src.join(small(skip), "id", "left_anti")
+    once_each = src.join(small(again), "id", "left_semi").dropDuplicates(["id"])
+    if few:
+        once_each = once_each.coalesce(docs.sparkSession.sparkContext.defaultParallelism)  # each task of the count sends up to 8 MB
+    counted = single.union(once_each)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, n, total = WordHasher(), np.zeros(1 << DF_BITS, np.int64), 0
@@ -77,7 +133,7 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarra
             total += np.frombuffer(x, np.int64)
         return pd.DataFrame({"part": [pdf.part.iloc[0]], "n": [total.tobytes()]})
 
-    once = docs.select(text).mapInArrow(count, "part int, n binary")
+    once = counted.select("text").mapInArrow(count, "part int, n binary")
     # two levels, so that one task adds the parts of some hundred tasks at most
     half = once.withColumn("salt", (F.spark_partition_id() / 128).cast("int")).groupBy("part", "salt").applyInPandas(lambda p: add(p), "part int, n binary")
     out, total = np.zeros((1 << DF_BITS) // DF_PART * DF_PART, np.int64).reshape(-1, DF_PART), 0
@@ -88,6 +144,7 @@ def bucket_frequencies(docs: DataFrame, text: str, size: int) -> tuple[np.ndarra
             total = int(np.frombuffer(r["n"], np.int64)[0])
         else:
             out[r["part"]] = np.frombuffer(r["n"], np.int64)
+    discard(like, several)
     return out.reshape(-1), total
 
 
@@ -150,10 +207,12 @@ def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf:
 
     A bucket of more than `leaf` texts is split by two more samples at a
     time, in `orders` different orders of them, until its pieces are small;
-    inside a piece all pairs of different parts are made.  Pieces of one text
-    or one part are done.  Texts that agree in all samples are linked with
-    the smallest of them.  So each text meets a bounded number of others in
-    each piece, the likest ones, and no group is ever paired with itself.
+    inside a piece all pairs of different parts are made.  Before a piece is
+    split, all its texts meet one of them, another one in each piece: so a
+    text that is like many of a large group, but not like its hub, joins it.
+    Pieces of one text or one part are done.  So each text meets a bounded
+    number of others in each piece, the likest ones, and no group is ever
+    paired with itself.
     Of a text only its id and a byte of each sample (pack()) travel; that
     can make a pair that differs, which is verified like all others.
     """
@@ -172,18 +231,24 @@ def parted_pairs(members: DataFrame, n_samples: int, orders: int = ORDERS, leaf:
         f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {leaf}), y -> y.part <> x.part AND {n_samples} - {unlike} >= {least}), "
         "y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b))))"
     )
+    turn = F.xxhash64("key", "id")
+    one = [F.max_by("id", turn).alias("hub"), F.max_by("part", turn).alias("hub_part"), *(F.max_by(F.get("words", F.lit(i)), turn).alias(f"hub_{i}") for i in range(-(-n_samples // 8)))]
+    hub_words = F.array(*[F.col(f"hub_{i}") for i in range(-(-n_samples // 8))])
+    with_hub = F.expr(f"{n_samples} - {unlike.replace('x.words', 'words').replace('y.words', 'hub_words')} >= {least}")
     made, before, steps = [], None, n_samples // 2
     for step in range(steps + 1):
-        sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("hub")).where("low <> high")
-        now = materialize(cur.join(sizes.select("key", "n", "hub"), "key"), "pieces")
+        sizes = cur.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), *one).where("low <> high")
+        sizes = sizes.select("key", "n", "hub", "hub_part", hub_words.alias("hub_words"))
+        now = materialize(cur.join(sizes, "key"), "pieces")
         if before is not None:
             discard(before)
         before = now
         if step == steps:
             made.append(materialize(now.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs"))
             break
+        met = now.where(F.col("n") > leaf).where("part <> hub_part").where(with_hub).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
         small = now.where(F.col("n") <= leaf).groupBy("key").agg(F.collect_list(F.struct("id", "part", "words")).alias("l"))
-        made.append(materialize(small.select(F.inline(pairs)).distinct(), "pairs"))
+        made.append(materialize(small.select(F.inline(pairs)).union(met).distinct(), "pairs"))
         large = now.where(F.col("n") > leaf)
         if large.isEmpty():
             break
@@ -201,10 +266,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are split at ASCII white space with A-Z lower-cased; shingles of
     `size` words are weighted by term frequency times bucketed inverse
-    document frequency.  Each distinct text (by MD5) gets bands * rows
-    samples.  Of every bucket, each text is first linked with the bucket's
-    smallest key, and with the smallest one that agrees in the next band as
-    well.  Buckets that hold texts not joined by that are split by further
+    document frequency, counted without copies.  Each distinct text (by MD5) gets bands * rows
+    samples.  Of every bucket, each text is first linked with the text of the
+    bucket whose own buckets are fullest, and with such a one of those that
+    agree in the next band as well.  Buckets that hold texts not joined by that are split by further
     samples until all pairs of a piece can be compared.  Pairs with a
     weighted Jaccard similarity of `threshold` or more are joined; class_id
     is the smallest doc_id of a class.
@@ -250,8 +315,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = materialize(src.mapInArrow(sign, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, content string, keys array<bigint>, words array<bigint>"), "signatures")
     texts = signed.where("keys IS NOT NULL").groupBy("content").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
     buckets = texts.select(number, F.posexplode("keys").alias("level", "key"))
-    stars = buckets.groupBy("level", "key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(buckets.join(stars.drop("n"), ["level", "key"]), "shared")
+    sizes = buckets.groupBy("level", "key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(buckets.join(sizes, ["level", "key"]), "crowded")
+    # the text whose buckets hold the most texts is the one its copies were made from, or the likest to it; ties go by the number
+    rank = crowded.groupBy("id").agg((F.least(F.sum("n"), F.lit(1 << 29)) * (1 << 34) + F.col("id").bitwiseAND(F.lit((1 << 34) - 1))).alias("rank"))
+    hubs = crowded.join(rank, "id").groupBy("level", "key").agg(F.max_by("id", "rank").alias("low"))
+    shared = materialize(crowded.drop("n").join(hubs, ["level", "key"]), "shared")
+    discard(crowded)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, idf, last, kept = WordHasher(), weights.value, None, None
