@@ -9,7 +9,7 @@ from vicinal import generate, sources
 from vicinal.errors import FileFormatError, InvalidOptionError, NotFittedError, VectorError, VicinalError
 from vicinal.functions import hashing
 from vicinal.operators.index import ApproxKNN, equi_depth_cuts
-from vicinal.operators.metrics import NOT_FOUND, error_ratio, recall
+from vicinal.operators.metrics import NOT_FOUND, KnnResult, error_ratio, recall
 from vicinal.operators.search import exact_knn
 from vicinal.options import HashFamily, LshOptions, Profiling
 from vicinal.profiling import Profiler
@@ -328,3 +328,67 @@ def test_majority_vote(spark):
     knn = spark.createDataFrame([(0, 1, 10, 1.0), (0, 2, 11, 2.0), (0, 3, 12, 3.0), (1, 1, 12, 1.0), (1, 2, 10, 1.0)], "query_id bigint, rank int, neighbor_id bigint, distance double")
     labels = spark.createDataFrame([(10, 5), (11, 5), (12, 4)], "id bigint, label int")
     assert {r.query_id: (r.label, r.votes) for r in majority_vote(knn, labels).collect()} == {0: (5, 2), 1: (4, 1)}
+
+
+def shuffled(spark, df):
+    """Bytes that running df writes for shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = total()
+    rows = df().count()
+    return total() - before, rows
+
+
+@pytest.mark.parametrize("kind", ["exact", "one bucket", "saved"])
+def test_shuffle_grows_as_the_points_do(spark, tmp_path, kind):
+    def run(n):
+        p = points(spark, spark.sparkContext.parallelize([(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(5).standard_normal((n, 4)))], 4)).persist()
+        if kind == "exact":
+            return exact_knn(p, 3)
+        if kind == "one bucket":
+            return ApproxKNN(LshOptions("rp", 1, 1, 2, 1), 3).fit(p).kneighbors().table
+        KnnResult(exact_knn(p, 3), p.select("id"), 3, n).save_indices(str(tmp_path / f"{n}"))
+        return p
+
+    (small, _), (large, rows) = shuffled(spark, lambda: run(2500)), shuffled(spark, lambda: run(10_000))
+    assert rows == (10_000 if kind == "saved" else 30_000) and large < 5.5 * small
+
+
+def test_shuffle_does_not_grow_with_the_tables(spark):
+    p = generate.blobs(spark, 4000, 4).select("id", "vec").persist()
+    few, many = (shuffled(spark, lambda t=t: ApproxKNN(LshOptions("rp", 8, 2, t, 1009, 2.0), 3).fit(p).kneighbors(p.where("id % 2 = 0"), exclude_same_id=True).table)[0] for t in (1, 8))
+    assert many < 2.5 * few
+
+
+@pytest.mark.parametrize("tables", [3, 7])
+def test_candidates_by_hand_and_without_vectors(spark, tables):
+    p = generate.blobs(spark, 300, 3).select("id", "vec")
+    knn = ApproxKNN(LshOptions("rp", 8, 2, tables, 97, 1.0), 3).fit(p)
+    signs = {r.id: r.sig for r in knn.index.points.collect()}
+    for queries, ids in ((None, list(signs)), (p.where("id % 7 = 0"), [i for i in signs if i % 7 == 0])):
+        want = {}
+        for q in ids:
+            for c in signs:
+                first = next((t for t in range(tables) if signs[q][t] == signs[c][t]), None)
+                if first is not None and (queries is not None or q != c):
+                    want[first, q] = want.get((first, q), 0) + 1
+        rows = knn.candidate_counts(queries).collect()
+        assert {(r.hash_table, r.query_id): r.candidates for r in rows} == want and len(rows) == len(want)
+
+
+def test_many_equal_points_and_few_queries(spark):
+    x = np.repeat(np.arange(12.0), 40)[:, None] * [1.0, 0.5]
+    p = points(spark, [(i * 3, v.tolist()) for i, v in enumerate(x)])
+    got = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in exact_knn(p, 45, block_rows=50).collect()}
+    for q in (0, 3 * 200, 3 * 479):
+        d = ((x - x[q // 3]) ** 2).sum(1)
+        order = [i for i in np.lexsort((np.arange(480), d)) if i * 3 != q][:45]
+        assert [got[q, r + 1] for r in range(45)] == [(i * 3, math.sqrt(d[i])) for i in order]
+    knn = ApproxKNN(LshOptions("rp", 4, 2, 5, 1009, 0.5), 4).fit(p)
+    every = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in knn.kneighbors().table.collect()}
+    few = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in knn.kneighbors(p.where("id % 60 = 0"), exclude_same_id=True).table.collect()}
+    assert few and few == {k: v for k, v in every.items() if k[0] % 60 == 0}

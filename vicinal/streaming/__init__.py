@@ -21,7 +21,8 @@ def answer_stream(knn: ApproxKNN, queries: DataFrame, sink: Callable[[DataFrame,
 
     def each(batch: DataFrame, number: int) -> None:
         signed = index.signed(batch.select("id", "vec"))
-        sink(search.search(index.members(), index.entries(signed), k or knn.k, False, first_only=index.options.overscan < 2), number)
+        sizes = (index.total_size, batch.count(), index.dims)
+        sink(search.search(index.members(), index.keyed(signed), k or knn.k, False, index.options.num_hash_tables, sizes), number)
 
     writer = queries.writeStream.foreachBatch(each)
     if checkpoint:
