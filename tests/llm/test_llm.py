@@ -196,6 +196,34 @@ def test_attention_gradients():
         assert math.isclose(slope, float((g[name] * d).sum()), rel_tol=0.05), name
 
 
+def test_attention_does_not_depend_on_chunks(monkeypatch):
+    att, lm, _, _ = lm_pieces()
+    rng = np.random.default_rng(5)
+    p = {k: (a + 0.2 * rng.standard_normal(a.shape)).astype(np.float32) for k, a in att.init(1).items()}
+    mix = rng.random((lm.VOCAB, att.PARTS)).astype(np.float32)
+    first, last, target = (rng.integers(0, 50, (71, att.BLOCK)) for _ in range(3))
+    target[5, 20:] = -1
+    fresh = rng.random(70) < 0.3
+
+    def all_of(chunk):
+        monkeypatch.setattr(att, "CHUNK", chunk)
+        g, told = {k: np.zeros_like(a) for k, a in p.items()}, np.zeros((lm.VOCAB, att.PARTS), np.float32)
+        loss = att.gradients(p, mix, first, last, target[1:], fresh, g, told)
+        return [np.array(loss), told, att.score(p, mix, first[1:], last[1:], target[1:], np.append(True, fresh[1:])), *(g[k] for k in sorted(g))]
+
+    for a, b in zip(all_of(16), all_of(128), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3 * np.abs(b).max())
+
+
+def test_words_are_spelled_as_one_by_one():
+    _, _, _, sub = lm_pieces()
+    texts = [prose(7, 50), " x \x00a \x1cq\u00a0z \u2028e\u0301", "\U0001f600" * 50 + " a", "x" * 5000, "", " \t\n", "\ufeffb <|endoftext|> \uff21 \u0130i"]
+    buf, starts, ends, _ = sub.hasher.words(texts)
+    raw = buf.tobytes()
+    one_by_one = [i for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for i in sub.core.encode_single_piece(b" " + raw[a:b])]
+    assert sub.spelled(buf, starts, ends).tolist() == one_by_one
+
+
 def test_every_word_trains_once_in_each_group():
     att, lm, _, sub = lm_pieces()
     texts = [prose(i, n, 5000) for i, n in enumerate((3, 40, 400, 20_000))]
